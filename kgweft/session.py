@@ -59,3 +59,23 @@ def parallelism(spark: SparkSession) -> int:
 def by_size(spark: SparkSession, rows: int, rows_per_task: int) -> int:
     """Number of shuffle partitions for ``rows``: follows the data, at least one for each core."""
     return max(parallelism(spark), -(-rows // rows_per_task))
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application (Spark's own file server carries it)."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="kgweft-")) / "kgweft.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for path in sorted(root.rglob("*.py")):
+            z.write(path, path.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(target))
+    _shipped.add(app)
