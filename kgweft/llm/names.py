@@ -217,7 +217,8 @@ def spellings(mentions: DataFrame, types: tuple[str, ...] = ("Author", "Organisa
 def _keys(names: DataFrame) -> DataFrame:
     """``(name, n, kind, main, given, form)`` with the order of open names decided.
 
-    A word is a given name if it stands first beside more different words than it stands last.
+    A word is a given name if it stands first beside more different words than it stands last. Besides, a name is
+    turned where only its turned reading is also that of a name whose order is plain (by a comma or a middle initial).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,11 @@ def _keys(names: DataFrame) -> DataFrame:
     lead = first.unionByName(last).distinct().groupBy("word").agg(F.sum("side").alias("lead"))
     of = lambda c: lead.select(F.col("word").alias(c), F.col("lead").alias(f"{c}_lead"))
     judged = parsed.join(of("given"), "given", "left").join(of("other"), "other", "left")
-    turn = (F.col("form") == "open") & (F.coalesce("other_lead", F.lit(0)) > 1) & (F.coalesce("given_lead", F.lit(0)) < F.coalesce("other_lead", F.lit(0)))
+    plain = parsed.filter(F.col("kind").startswith("p") & (F.col("form") == "full")).select("kind", "main", "given").distinct()
+    judged = judged.join(plain.withColumn("as_read", F.lit(True)), ["kind", "main", "given"], "left")
+    judged = judged.join(plain.select("kind", F.col("main").alias("given"), F.col("given").alias("other"), F.lit(True).alias("as_turned")), ["kind", "given", "other"], "left")
+    known = F.col("as_turned").isNotNull() & F.col("as_read").isNull()
+    turn = (F.col("form") == "open") & F.col("as_read").isNull() & (known | (F.coalesce("other_lead", F.lit(0)) > 1) & (F.coalesce("given_lead", F.lit(0)) < F.coalesce("other_lead", F.lit(0))))
     # turned: the word read as given is the family name
     return judged.select(
         "name", "n", "kind", F.when(turn, F.col("given")).otherwise(F.col("main")).alias("main"),
