@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweft.llm import markup, names, packing, splitting, survivor, tokens, vectors
+from kgweft.llm import history, markup, matching, names, packing, splitting, survivor, tokens, vectors
 from kgweft.session import ship, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return history.found(table(spark, sf_dir, "papers"))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return history.classes(table(spark, sf_dir, "papers"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    pairs = matching.match(table(spark, sf_dir, "papers"), table(spark, sf_dir, "index_papers"))
+    return pairs.select("paper_rec_id", "index_rec_id")
+
+
+def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return matching.matches(table(spark, sf_dir, "papers"), table(spark, sf_dir, "index_papers"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return vectors.pairs(vectors.neighbours(table(spark, sf_dir, "entities")))
@@ -80,6 +101,7 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches,
         "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_entities": p4_entities,
         "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces,
         "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage,

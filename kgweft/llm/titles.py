@@ -88,4 +88,6 @@ def alike(a: str, b: str) -> float:
     if left and right and slip(left, right):
         return 1.0
     share = common / longest
+    if longest > 3 and (not rest_x or not rest_y) and len(rest_x) + len(rest_y) == 1:  # one word put in or left out
+        return max(share, 0.85)
     return min(share, 0.5) if any(len(w) > 4 for w in rest_x) and any(len(w) > 4 for w in rest_y) else share
