@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kgweft.llm import history, markup, matching, names, packing, splitting, survivor, tokens, vectors
+from kgweft.llm import history, markup, matching, names, packing, splitting, subjects, survivor, tokens, vectors
 from kgweft.session import ship, table
 
 
@@ -99,10 +99,21 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.usage(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return subjects.composition(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches,
         "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_entities": p4_entities,
         "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces,
         "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage,
+        "p10_found": p10_found, "p10_composition": p10_composition,
     }
