@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgweft.functions.vector import cosine
@@ -82,7 +82,11 @@ def bm25(docs: DataFrame, query: str, *, key: str, text: str, limit: int | None
 
     asked = sorted({w for w in re.split(r"[^a-z0-9]+", query.lower()) if w})
     tokens = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda t: t != "")
-    counts = [F.size(F.filter("tokens", lambda t, w=w: t == w)).alias(f"tf{n}") for n, w in enumerate(asked)]
+
+    def count(word: str) -> Column:
+        return F.size(F.filter("tokens", lambda t: t == word))
+
+    counts = [count(w).alias(f"tf{n}") for n, w in enumerate(asked)]
     base = docs.select(F.col(key), tokens.alias("tokens")).select(key, F.size("tokens").alias("len"), *counts)
     names = [f"tf{n}" for n in range(len(asked))]
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names])
