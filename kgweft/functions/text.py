@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,7 +89,7 @@ def fixed(c: Column, digits: int) -> Column:
     x, unit = F.abs(c.cast("double")), 10**digits
     high = F.floor(x * 2.0**20)
     low = F.floor((x * 2.0**20 - high) * 2.0**43)
-    whole = F.lit(1 << 63).cast("decimal(20,0)")
+    whole = F.lit(Decimal(1 << 63))
     scaled = (high.cast("decimal(18,0)") * F.lit(1 << 43).cast("decimal(14,0)") + low.cast("decimal(14,0)")) * F.lit(unit).cast(f"decimal({digits + 1},0)")
     rest = scaled % whole
     floor = ((scaled - rest) / whole).cast("bigint")
