@@ -44,10 +44,11 @@ class Engine:
         counts = upsert.merge_entities(old, counted)
         missing = upsert.missing_endpoints(mentions, counts).withColumn("mention_count", F.lit(None).cast("bigint"))
         both = counts.unionByName(missing)
-        kept = old.drop("mention_count")
-        entities = both.join(kept, [both["name"].eqNullSafe(kept["name"]), both["type"].eqNullSafe(kept["type"])], "left").select(
-            both["name"], both["type"], both["mention_count"], F.coalesce("created", now).alias("created"),
-            F.when(F.col("created").isNotNull(), now).alias("updated"), *[kept[c] for c in ("url", "source", "citations", "text", "embedding", "summary")],
+        kept = old.drop("mention_count").withColumnsRenamed({"name": "old_name", "type": "old_type"})
+        same = F.col("name").eqNullSafe(F.col("old_name")) & F.col("type").eqNullSafe(F.col("old_type"))
+        entities = both.join(kept, same, "left").select(
+            "name", "type", "mention_count", F.coalesce("created", now).alias("created"),
+            F.when(F.col("created").isNotNull(), now).alias("updated"), "url", "source", "citations", "text", "embedding", "summary",
         )
         last = named.groupBy(F.col("title").alias("name"), F.lit(kind).alias("type")).agg(F.max_by(F.struct("url", "source", "citations"), "ord").alias("p"))
         entities = entities.join(last, ["name", "type"], "left")
