@@ -2,6 +2,23 @@
 
 from __future__ import annotations
 
+# Brute force over all pairs of usable vectors.
+_P3 = """
+WITH v AS (
+    SELECT entity_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+    FROM entities WHERE len(embedding) = 96
+), s AS (
+    SELECT a.entity_id AS a, b.entity_id AS b, list_dot_product(a.x, b.x) / (a.n * b.n) AS cosine
+    FROM v a JOIN v b ON a.entity_id <> b.entity_id AND a.n > 0 AND b.n > 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) AS rank FROM s)
+SELECT DISTINCT least(a, b) AS entity_a, greatest(a, b) AS entity_b FROM r WHERE rank <= 5 AND cosine >= 0.8
+"""
+
+_P6 = r"""
+SELECT request_no, CASE WHEN list_max(list_transform(string_split_regex(text, '[\s\p{Z}\x0B\x1C-\x1F\x{85}]+'), lambda w: length(w))) > 2000 THEN 'forced' ELSE 'natural' END AS cut
+FROM ingest_texts WHERE length(text) > 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p3_found": _P3, "p6_found": _P6}
