@@ -55,7 +55,7 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> np.ndarray:
     return placed
 
 
-def _pack(items: DataFrame, capacity: int) -> DataFrame:
+def _pack(items: DataFrame, capacity: int, shards: int) -> DataFrame:
     kind = dict(items.dtypes)["item"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
@@ -65,7 +65,9 @@ def _pack(items: DataFrame, capacity: int) -> DataFrame:
         return group[["shard", "item", "piece", "start_token", "n_tokens", "bin", "filled"]]
 
     schema = f"shard long, item {kind}, piece int, start_token long, n_tokens long, bin long, filled long"
-    return items.select("shard", "item", "piece", "start_token", "n_tokens").groupBy("shard").applyInPandas(run, schema)
+    # a number of tasks that follows the shards: they are few bytes and much work, and would be put together by size
+    spread = items.select("shard", "item", "piece", "start_token", "n_tokens").repartition(shards, "shard")
+    return spread.groupBy("shard").applyInPandas(run, schema)
 
 
 def pack(
@@ -86,7 +88,7 @@ def pack(
     total = parts.count()
     shards = max(1, -(-total // rows_per_shard))
     spread = F.pmod(F.xxhash64("item", "piece", "n_tokens"), F.lit(shards))
-    first = cut(_pack(parts.withColumn("shard", spread), capacity))
+    first = cut(_pack(parts.withColumn("shard", spread), capacity, shards))
     if shards == 1:
         packed = first
     else:
@@ -94,7 +96,7 @@ def pack(
         again = first.filter(poor)
         fewer = max(1, -(-again.count() // rows_per_shard))
         spread = F.lit(shards) + F.pmod(F.xxhash64("item", "piece", "n_tokens"), F.lit(fewer))
-        packed = first.filter(~poor).unionByName(_pack(again.withColumn("shard", spread), capacity))
+        packed = first.filter(~poor).unionByName(_pack(again.withColumn("shard", spread), capacity, fewer))
     container = (F.col("shard") * F.lit(1 << 32) + F.col("bin")).alias("container_id")
     return packed.select(container, F.col("item").alias(key), "piece", "start_token", "n_tokens")
 
