@@ -44,6 +44,15 @@ def test_history_of_nothing(spark):
     assert history.found(papers(spark, [(1, 1, None, None, None)])).count() == 0
 
 
+def test_history_looks_past_the_first_holder_of_a_passage(spark):
+    rows = [
+        (1, 0, "a1", "The Depassen study of tides, 1", TEXT), (2, 0, "a2", "The Depassen study of tides, 2", TEXT[:200] + OTHER),
+        (3, 1, "b1", "The Depassen study of tides, 2", TEXT[:200]), (4, 1, "b2", "The Depassen studdy of tides, 2", TEXT[:200]),
+    ]
+    got = {(r["first_rec_id"], r["rec_id"]) for r in history.found(papers(spark, rows)).collect()}
+    assert got == {(2, 3), (2, 4)}
+
+
 def test_segments_find_the_longest_match():
     rnd = random.Random(1)
     held, every = history.Segments(), []
