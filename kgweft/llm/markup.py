@@ -9,6 +9,7 @@ Clean text is written from the slots and keeps headings, lists, tables, code and
 
 from __future__ import annotations
 
+import hashlib
 import html as _html
 import json
 import re
@@ -309,10 +310,15 @@ class Parser:
 
 #: Never template, even where many pages share it.
 _KEPT = {"pre", "code", "math", "display", "table"}
-# wrappers: {"t": tag, "n": pages, "x": {text: pages}, "c": [children]}
+# wrappers: {"t": tag, "n": pages, "x": {digest of text: pages}, "c": [children]}
 _TEXTS = 4
 
 
+def _digest(text: str) -> str:
+    """Stands for a whole text, so that only nodes equal in full count as one."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+
+
 def wrapper_of(node: Node) -> dict:
     """The wrapper of one page; siblings of one tag in a row count as one repeated node."""
     children: list[dict] = []
@@ -322,7 +328,7 @@ def wrapper_of(node: Node) -> dict:
         else:
             children.append(child)
     text = node.text.strip()
-    return {"t": node.tag, "n": 1, "x": {text[:80]: 1} if text else {}, "c": children}
+    return {"t": node.tag, "n": 1, "x": {_digest(text): 1} if text else {}, "c": children}
 
 
 def _union(a: dict, b: dict, page: bool = False) -> dict:
@@ -369,7 +375,7 @@ def _aligned(a: list[dict], b: list[dict]) -> list[dict]:
 
 
 def template(wrapper: dict, pages: int = 20, share: float = 0.9) -> list[str]:
-    """``path<TAB>text`` of the constant nodes: on at least ``pages`` pages, nearly always one of a few texts."""
+    """``path<TAB>digest`` of the constant nodes: on at least ``pages`` pages, nearly always one of a few texts."""
     found: set[str] = set()
 
     def walk(node: dict, path: str) -> None:
@@ -394,7 +400,7 @@ def render(root: Node, constant: frozenset[str] = frozenset()) -> str:
     def walk(node: Node, path: str) -> None:
         path = f"{path}/{node.tag}"
         text = node.text
-        if text.strip() and f"{path}\t{text.strip()[:80]}" in constant:
+        if text.strip() and f"{path}\t{_digest(text.strip())}" in constant:
             return
         tag = node.tag
         if tag in ("text", "label"):

@@ -182,6 +182,14 @@ def test_structure_is_kept_and_templates_go(spark):
     assert markup.found(df).filter("rec_id = 51").count() == 4 and markup.found(df.limit(0)).count() == 0
 
 
+def test_texts_with_one_lead_are_no_template(spark):
+    lead = "This article is made available under the terms that the publisher of the series sets for all "
+    rows = [(n, None, f"<div><h2>Summary</h2><p>{lead}parts, number {n}</p></div>", "http://h.example/x", "z") for n in range(30)]
+    df = spark.createDataFrame(rows, "rec_id bigint, title string, abstract string, url string, host string")
+    got = {r["rec_id"]: r["text"] for r in markup.clean(df).collect()}
+    assert got[3] == f"{lead}parts, number 3"
+
+
 @given(st.text("<>&;#*_`'[]{}|\\$=~-+ \nabp/1!", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_any_text_parses(raw):
