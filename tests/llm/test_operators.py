@@ -95,6 +95,13 @@ def test_matching(spark):
     assert matching.match(left.limit(0), right).count() == 0
 
 
+def test_matching_looks_past_the_first_record_of_a_key(spark):
+    p = [(1, "Steady tortclaim and open appeal", ["Ada Lorn"], None, None, 0), (2, "The Gloma study of steady tortclaim and appeal", [], None, None, 0)]
+    i = [(11, "The Glomma stuudy of steady tortclaim and appeal", [], None, None, 0)]
+    got = [tuple(r)[:2] for r in matching.match(spark.createDataFrame(p, RECORD), spark.createDataFrame(i, RECORD)).collect()]
+    assert got == [(2, 11)]
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------
 
 
