@@ -16,6 +16,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.found(table(spark, sf_dir, "papers"))
 
 
+def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p1_found with every batch a delivery of its own."""
+    ship(spark)
+    return history.found(table(spark, sf_dir, "papers"), each=True)
+
+
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return history.classes(table(spark, sf_dir, "papers"))
@@ -111,7 +117,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches,
+        "p1_found": p1_found, "p1_batches": p1_batches, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches,
         "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_entities": p4_entities,
         "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces,
         "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage,

@@ -23,19 +23,31 @@ _FRONT = {"editorial", "erratum", "errata", "corrigendum", "introduction", "pref
 _SMALL = {"the", "a", "an", "of", "and", "in", "on", "for", "to", "from", "is", "does", "how", "with", "by", "at", "after", "or", "und", "et", "de", "la", "le"}
 
 
+# Prepositions that open a condition.
+_LEADS = "in|on|at|of|for|to|by|with|under|over|via|from"
+#: A formula with the preposition that leads to it, to the end of the title; a formula elsewhere.
+_CONDITION = re.compile(rf"\b(?:{_LEADS})\b(?:(?!\b(?:{_LEADS})\b)[^,:;?!\0])*\0[^,:;?!]*$")
+
+
 def plain(text: str | None) -> str:
-    """Lower case without markup, formulas and accents."""
+    """Lower case without markup, formulas and accents.
+
+    A condition that ends a title and holds a formula goes with it where at least three words stay, as sources
+    that can't set the formula leave the condition out.
+    """
     if not text:
         return ""
-    bare = re.sub(r"\$[^$\n]*\$", " ", render(Parser(text).root))
-    return "".join(c for c in unicodedata.normalize("NFKD", bare) if not unicodedata.combining(c)).lower()
+    marked = re.sub(r"(?is)<(su[bp])\b[^>]*>.*?</\1\s*>", "\0", text)
+    bare = re.sub(r"\$[^$\n]*\$", "\0", render(Parser(marked).root))
+    text = "".join(c for c in unicodedata.normalize("NFKD", bare) if not unicodedata.combining(c)).lower()
+    short = _CONDITION.sub(" ", text)
+    return (short if len(re.findall(r"[^\W_]+", short)) >= 3 else text).replace("\0", " ")
 
 
 def told(title: str | None) -> tuple[str, str, bool]:
     """``(core, marks, general)``: the title's words without version wording, issue and follow-up marks apart, and whether many papers bear it."""
     text = _VERSION.sub(" ", plain(title))
-    text = re.sub(r"\bin co2-rich settings\b|\bfor -mixing data\b|\bin\s+steps\s*$|\bat\s*$", " ", text.replace("&", " and "))
-    words = re.findall(r"[^\W_]+", text)
+    words = re.findall(r"[^\W_]+", text.replace("&", " and "))
     front = not words or words[0] in _FRONT and len(words) <= 6
     core, marks = [], []
     for n, w in enumerate(words):

@@ -53,18 +53,60 @@ def test_history_looks_past_the_first_holder_of_a_passage(spark):
     assert got == {(2, 3), (2, 4)}
 
 
-def test_segments_find_the_longest_match():
+def slices(rows):
+    rows = sorted(rows)
+    tails, title, issue, bare, rec = zip(*rows, strict=True)
+    return history.Slice(np.array(tails, dtype=f"S{history.DEPTH + 1}"), np.array(title), np.array(issue), np.array(bare), np.array(rec))
+
+
+def test_slices_find_the_longest_matches():
     rnd = random.Random(1)
-    held, every = history.Segments(), []
-    for batch in range(6):
-        tails = sorted({bytes(rnd.choice(b"ab") for _ in range(12)) for _ in range(9)})
-        held.add(np.array(tails, dtype=f"S{history.DEPTH}"), np.arange(len(tails)) + 100 * batch)
-        every += tails
-    asked = [bytes(rnd.choice(b"ab") for _ in range(12)) for _ in range(50)]
-    length, _ = held.longest(np.array(asked, dtype=f"S{history.DEPTH}"))
-    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a))
-    assert length.tolist() == [max(common(a, b) for b in every) for a in asked]
-    assert sum(x is not None for x in held.levels) == bin(6).count("1")
+    word = lambda: b"a" + bytes(rnd.choice(b"ab") for _ in range(3)) + b"x" * rnd.choice([27, 28, 29, 44]) + bytes(rnd.choice(b"yz") for _ in range(2))
+    held = slices({(word(), n, n % 3, n % 7 == 0, n) for n in range(40)})
+    asked = slices({(word(), 100 + n, n % 3, n % 5 == 0, 20 + n) for n in range(60)})
+    got = set(zip(*(x.tolist() for x in held.matches(asked)), strict=True))
+    for q in range(60):
+        fits = lambda e, d, q=q: held.tails[e][: d + 1] == asked.tails[q][: d + 1]
+        want = set()
+        for depth in (48, 32):
+            near = [e for e in range(40) if fits(e, depth)]
+            if len(near) <= history.FEW and not want:
+                want = {(q, int(held.rec[e]), depth) for e in near if held.rec[e] < asked.rec[q] and (held.issue[e] == asked.issue[q] or held.bare[e] or asked.bare[q])}
+            elif not want and len(near) > history.FEW:
+                want = {g for g in got if g[0] == q}
+                assert all(fits(int(np.flatnonzero(held.rec == r)[0]), d) and r < asked.rec[q] for _, r, d in want)
+        assert {g for g in got if g[0] == q} == want
+
+
+def test_a_crowded_match_leads_to_the_first_and_to_the_own_title():
+    tail = b"a" + b"q" * 48
+    held = slices([(tail, n, 0, False, 100 + n) for n in range(30)] + [(tail, 50, 1, False, 7), (tail, 51, 2, True, 9)])
+    asked = slices([(tail, 17, 0, False, 500), (tail, 88, 1, False, 501), (tail, 99, 0, False, 90), (tail, 99, 5, True, 600)])
+    q, rec, _ = held.matches(asked)
+    got = {int(asked.rec[k]): set(rec[q == k].tolist()) for k in range(4)}
+    assert got == {500: {100, 117, 9}, 501: {7, 9}, 90: {9}, 600: {7, 9}}
+
+
+@given(st.text("abcdefgh", min_size=47, max_size=60), st.text("abcdefgh", max_size=40), st.text("abcdefgh", max_size=40))
+@settings(max_examples=100, deadline=None)
+def test_a_common_passage_has_a_common_place(passage, before, other):
+    def tails(text):
+        raw = text.encode()
+        return {raw[p : p + history.LEAST["a"]] for p in history.places(np.frombuffer(raw, np.uint8), 16) if len(raw) - p >= history.LEAST["a"]}
+
+    assert tails(before + passage + other) & tails(other[::-1] + passage)
+
+
+def test_batches_one_by_one_give_the_answers_of_one_delivery(spark, data, tmp_path):
+    p = spark.read.parquet(f"{data}/papers.parquet")
+    index, got = history.Index(spark, f"file://{tmp_path}/index", entries_per_bucket=2000), set()
+    for n in range(5):  # only the batch is given: earlier rows can't be read
+        got |= {tuple(r) for r in index.append(p.filter(F.expr("CAST(ceil(batch_no / 3) AS int)") == n)).filter("batch_no > 0 AND first_rec_id < rec_id").select("first_rec_id", "rec_id").collect()}
+        assert len({s["rows"].bit_length() for s in index.segments()}) == len(index.segments())
+    assert got == {tuple(r) for r in history.found(p).collect()} and got
+    again = history.Index(spark, f"file://{tmp_path}/index").append(p.filter("batch_no = 12").withColumn("rec_id", F.col("rec_id") + 10**9))
+    answers = {r["rec_id"] - 10**9: r["first_rec_id"] for r in again.filter("first_rec_id < 1000000000").collect()}
+    assert set(answers) >= {rec for first, rec in got if rec in answers} and len(answers) >= 0.8 * p.filter("batch_no = 12").count()
 
 
 def test_titles():
