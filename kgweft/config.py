@@ -8,6 +8,10 @@ from dataclasses import dataclass
 @dataclass(frozen=True)
 class Config:
     entity_merge_threshold: float = 0.92
+    score_scale: str = "cosine"  # "unit" for scores of (1 + cosine) / 2
+    entity_score: float = 0.5  # least score of a recognised entity
+    summary_relations: int = 15
+    parts: int = 64  # of each stored table
     vector_top_k: int = 5
     graph_triple_limit: int = 40
     fulltext_limit: int = 10

@@ -66,6 +66,11 @@ def sentences(text: Column, least: int = 20, most: int = 30) -> Column:
     return F.slice(F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"\."), strip), lambda s: F.length(s) > least), 1, most)
 
 
+def scored_entities(found: Column, least: float = 0.5) -> Column:
+    """Texts of the recognised entities (``array<struct<text, score>>``) whose score is at least ``least``, in their order; a null score is too low."""
+    return F.transform(F.filter(found, lambda e: F.coalesce(e["score"] >= least, F.lit(False))), lambda e: e["text"])
+
+
 def between(sentence: Column, s: Column, o: Column) -> Column:
     """The text after the first ``s`` and before the first ``o``; empty where ``o`` comes first."""
     start = F.instr(sentence, s) + F.length(s)

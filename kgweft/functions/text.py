@@ -71,6 +71,11 @@ def stars(confidence: Column) -> Column:
     return F.repeat(F.lit("★"), F.greatest(F.lit(0), F.least(F.lit(5), F.bround(confidence * 5).cast("int"))))
 
 
+def iso(moment: Column) -> Column:
+    """A moment as ISO text to the second; null gives the empty string."""
+    return F.coalesce(F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(""))
+
+
 def falsy(c: Column, default: float) -> Column:
     """``default`` for null and for zero."""
     return F.coalesce(F.nullif(c, F.lit(0.0)), F.lit(default))

@@ -24,20 +24,14 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def two_hop(edges: DataFrame, seeds: list[str]) -> DataFrame:
     """Edges within two steps of the nodes that match a seed, in stored direction."""
-    apart = edges.filter(F.col("subject") != F.col("obj"))
-    out = apart.filter(matches_seed(F.col("subject"), seeds)).select(F.col("obj").alias("name"))
-    back = apart.filter(matches_seed(F.col("obj"), seeds)).select(F.col("subject").alias("name"))
-    own = nodes(edges).filter(matches_seed(F.col("name"), seeds))
-    reached = out.union(back).union(own).distinct()
-    linked = nodes(apart)  # nodes with an edge that is no loop
-    src, dst = reached.withColumnRenamed("name", "subject"), reached.withColumnRenamed("name", "obj")
-    # taken from both sides without a second look at edges that both have
-    by_src = edges.join(src, "subject", "left_semi")
-    by_dst = edges.join(dst, "obj", "left_semi").join(src, "subject", "left_anti")
-    met = by_src.unionByName(by_dst)
-    plain = met.filter(F.col("subject") != F.col("obj"))
-    loops = met.filter(F.col("subject") == F.col("obj")).join(linked.withColumnRenamed("name", "subject"), "subject", "left_semi")
-    return plain.unionByName(loops)
+    hit = matches_seed(F.col("subject"), seeds) | matches_seed(F.col("obj"), seeds)
+    reached = edges.filter(hit).select(F.explode(F.array("subject", "obj")).alias("name")).distinct()
+    subject, obj = (reached.select(F.col("name").alias(c), F.lit(True).alias(f"{c}_met")) for c in ("subject", "obj"))
+    met = edges.join(subject, "subject", "left").join(obj, "obj", "left").filter("subject_met OR obj_met").select(*edges.columns)
+    # a loop counts where its node has an edge that is none; all of such a node's edges were met
+    apart = met.filter(F.col("subject") != F.col("obj"))
+    loops = met.filter(F.col("subject") == F.col("obj")).join(nodes(apart).withColumnRenamed("name", "subject"), "subject", "left_semi")
+    return apart.unionByName(loops.select(*edges.columns))
 
 
 def ranked(edges: DataFrame, config: Config = Config(), limit: int | None = None, cut_off: bool = True) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kgweft.schemas import UNKNOWN
+
 
 def _millis(c: Column) -> Column:
     return F.unix_millis(c.cast("timestamp"))
@@ -38,23 +40,27 @@ def last_writer(events: DataFrame, key: list[str], order: list[str], properties:
     return events.groupBy(*key).agg(F.count(F.lit(1)).alias("mention_count"), *[last(p) for p in properties])
 
 
-def relation_rollup(mentions: DataFrame) -> DataFrame:
-    """Relations by ``(subject, predicate, obj)``: distinct sources in order, mean confidence, first and last seen, count.
+KEY = ["subject", "predicate", "obj"]
+#: Between nodes instead of names.
+TYPED = ["subject", "subject_type", "predicate", "obj", "obj_type"]
+
+
+def relation_rollup(mentions: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """Relations by ``key``: distinct sources in order, mean confidence, first and last seen, count.
 
-    A null confidence counts as 1.0; an empty or null source is no source. Mentions without an end are left out.
+    A null confidence counts as 1.0; an empty or null source is no source. Mentions without an end are left out. The
+    first of two aggregations is by source as well, so a relation's list is made of its sources, not of its mentions.
     """
     usable = mentions.filter(F.col("subject").isNotNull() & F.col("obj").isNotNull())
-    source = F.when(F.coalesce("source_id", F.lit("")) != "", F.struct("seq", F.col("source_id").alias("s")))
-    # the first mention of each source is enough, so a relation's list holds its sources, not its mentions
-    first = usable.filter(source.isNotNull()).groupBy("subject", "predicate", "obj", "source_id").agg(F.min("seq").alias("seq"))
-    lists = first.groupBy("subject", "predicate", "obj").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "source_id"))), lambda x: x["source_id"]).alias("sources"))
-    totals = usable.groupBy("subject", "predicate", "obj").agg(
-        F.avg(F.coalesce("confidence", F.lit(1.0))).alias("confidence"), F.min(_millis(F.col("extracted_at"))).alias("first_seen"),
-        F.max(_millis(F.col("extracted_at"))).alias("last_seen"), F.count(F.lit(1)).alias("mention_count"),
+    seen = _millis(F.col("extracted_at"))
+    each = usable.groupBy(*key, F.nullif("source_id", F.lit("")).alias("source_id")).agg(
+        F.min("seq").alias("seq"), F.sum(F.coalesce("confidence", F.lit(1.0))).alias("total"), F.min(seen).alias("first_seen"), F.max(seen).alias("last_seen"), F.count(F.lit(1)).alias("n"),
+    )
+    source = F.when(F.col("source_id").isNotNull(), F.struct("seq", "source_id"))
+    return each.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(source)), lambda x: x["source_id"]).alias("sources"), (F.sum("total") / F.sum("n")).alias("confidence"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("n").alias("mention_count"),
     )
-    key = ["subject", "predicate", "obj"]
-    same = [totals[k].eqNullSafe(lists[k]) for k in key]
-    return totals.join(lists, same, "left").select(*[totals[k] for k in key], F.coalesce("sources", F.array().cast("array<string>")).alias("sources"), "confidence", "first_seen", "last_seen", "mention_count")
 
 
 def relation_totals(mentions: DataFrame) -> DataFrame:
@@ -63,9 +69,8 @@ def relation_totals(mentions: DataFrame) -> DataFrame:
     return usable.groupBy("subject", "predicate", "obj").agg(F.avg(F.coalesce("confidence", F.lit(1.0))).alias("confidence"), F.count(F.lit(1)).alias("mention_count"))
 
 
-def merge_relations(stored: DataFrame, batch: DataFrame) -> DataFrame:
+def merge_relations(stored: DataFrame, batch: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Stored relations after a batch: weighted mean, summed counts, old sources first, earliest and latest times."""
-    key = ["subject", "predicate", "obj"]
     s, b = stored.alias("s"), batch.alias("b")
     met = s.join(b, [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in key], "full_outer")
     n, k = F.coalesce("s.mention_count", F.lit(0)), F.coalesce("b.mention_count", F.lit(0))
@@ -78,10 +83,37 @@ def merge_relations(stored: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
+def renamed(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """``rows`` (``name, type, ...``) with the names that ``resolved`` (``name, type, resolved``) gives."""
+    map_to = resolved.select(F.col("name").alias("from_name"), F.col("type").alias("from_type"), "resolved")
+    same = F.col("name").eqNullSafe(F.col("from_name")) & F.col("type").eqNullSafe(F.col("from_type"))
+    return rows.join(map_to, same, "left").withColumn("name", F.coalesce("resolved", "name")).drop("from_name", "from_type", "resolved")
+
+
+def made_endpoints(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(name, type, born)`` of the nodes that relations make: ends whose name no node bears at the mention's place.
+
+    ``nodes``: ``name, born``; a null ``born`` is a node that was there before.
+    """
+    ends = mentions.select(F.col("subject").alias("name"), "seq").unionByName(mentions.select(F.col("obj").alias("name"), "seq"))
+    ends = ends.filter(F.col("name").isNotNull()).groupBy("name").agg(F.min("seq").alias("met"))
+    borne = nodes.groupBy("name").agg(F.min("born").alias("first"), F.bool_or(F.col("born").isNull()).alias("old"))
+    free = ends.join(borne, "name", "left").filter(~F.coalesce("old", F.lit(False)) & (F.col("first").isNull() | (F.col("first") > F.col("met"))))
+    return free.select("name", F.lit(UNKNOWN).alias("type"), F.col("met").alias("born"))
+
+
+def bind(mentions: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``mentions`` with the types of each pair of nodes that they bind: those of their names that exist at their place."""
+    for side in ("subject", "obj"):
+        ends = nodes.groupBy(F.col("name").alias(side), F.col("type").alias(f"{side}_type")).agg(F.min("born").alias("born"), F.bool_or(F.col("born").isNull()).alias("old"))
+        mentions = mentions.drop(f"{side}_type").join(ends, side).filter(F.col("old") | (F.col("born") <= F.col("seq"))).drop("born", "old")
+    return mentions
+
+
 def missing_endpoints(mentions: DataFrame, entities: DataFrame) -> DataFrame:
     """``(name, type)`` of the nodes that relations create: ends that no entity bears as its name, of type ``unknown``."""
     ends = mentions.select(F.col("subject").alias("name")).unionByName(mentions.select(F.col("obj").alias("name"))).filter(F.col("name").isNotNull()).distinct()
-    return ends.join(entities.select("name").distinct(), "name", "left_anti").select("name", F.lit("unknown").alias("type"))
+    return ends.join(entities.select("name").distinct(), "name", "left_anti").select("name", F.lit(UNKNOWN).alias("type"))
 
 
 def bound_endpoints(mentions: DataFrame, entities: DataFrame, seen: str = "seen", created: str = "created") -> DataFrame:

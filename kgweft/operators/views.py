@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kgweft.functions.text import falsy
@@ -16,30 +16,42 @@ def stats(entities: DataFrame, relations: DataFrame) -> DataFrame:
     return e.crossJoin(F.broadcast(r)).select("entities", "relations", "papers", "vector_index_size")  # one row each
 
 
-def history(entities: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
-    """Documents with a text, titles from the last in order."""
+def history(entities: DataFrame, limit: int | None = 20, offset: int = 0) -> DataFrame:
+    """Documents with a text, titles from the last in order; all of them without a limit."""
     rows = entities.filter(F.col("type").isin(DOCUMENT_TYPES) & F.col("text").isNotNull()).select(F.col("name").alias("title"), "type", F.length("text").cast("bigint").alias("text_length")).distinct()
-    return rows.orderBy(F.col("title").desc(), "type", "text_length").offset(offset).limit(limit)
+    shown = rows.orderBy(F.col("title").desc(), "type", "text_length").offset(offset)
+    return shown.limit(limit) if limit else shown
+
+
+def node(entities: DataFrame, name: str, kind: str | None = None) -> DataFrame:
+    """The nodes of one name, or the one of a name and type."""
+    found = entities.filter(F.col("name") == name)
+    return found if kind is None else found.filter(F.col("type") == kind)
 
 
 def export_links(relations: DataFrame, limit: int | None = 120, min_mentions: int = 0) -> DataFrame:
     """Links of the graph view, in a fixed order; a confidence of null or 0 shows as 1, a null name as ``?``."""
-    rows = relations.filter(F.coalesce("mention_count", F.lit(0)) >= min_mentions).orderBy("subject", "predicate", "obj")
+    typed = [c for c in ("subject_type", "obj_type") if c in relations.columns]
+    rows = relations.filter(F.coalesce("mention_count", F.lit(0)) >= min_mentions).orderBy("subject", "predicate", "obj", *typed)
     rows = rows.limit(limit) if limit else rows
     return rows.select(
         F.coalesce("subject", F.lit("?")).alias("source"), F.coalesce("obj", F.lit("?")).alias("target"), "predicate",
-        falsy(F.col("confidence"), 1.0).alias("confidence"), F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"),
+        falsy(F.col("confidence"), 1.0).alias("confidence"), F.coalesce("mention_count", F.lit(0)).cast("bigint").alias("mention_count"), *typed,
     )
 
 
 def export_nodes(links: DataFrame, entities: DataFrame) -> DataFrame:
-    """Nodes of the links, once for each name: the first seen in link order, subjects before objects."""
-    spot = Window.orderBy("source", "predicate", "target")  # of the links shown, whose number the view's limit bounds
-    placed = links.withColumn("pos", F.row_number().over(spot))
-    sides = placed.select(F.col("source").alias("name"), (F.col("pos") * 2).alias("ord")).unionByName(placed.select(F.col("target").alias("name"), (F.col("pos") * 2 + 1).alias("ord")))
-    first = sides.groupBy("name").agg(F.min("ord").alias("ord"))
-    named = entities.groupBy("name").agg(F.min(F.struct("type", F.coalesce("mention_count", F.lit(0)).alias("n"))).alias("e"))
-    return first.join(named, "name", "left").select(F.col("name").alias("id"), "name", F.col("e.type").alias("type"), F.coalesce("e.n", F.lit(0)).cast("bigint").alias("mention_count"))
+    """Nodes of the links, once for each name: the first seen in link order, subjects before objects.
+
+    Links that name their ends' types show that node; otherwise it is the name's first node in the order of types.
+    """
+    typed = "subject_type" in links.columns
+    end = lambda name, kind, side: F.struct("source", "predicate", "target", F.lit(side).alias("side"), (F.col(kind) if typed else F.lit(None).cast("string")).alias("type"), F.col(name).alias("name"))
+    ends = links.select(F.explode(F.array(end("source", "subject_type", 0), end("target", "obj_type", 1))).alias("e"))
+    first = ends.groupBy(F.col("e.name").alias("name")).agg(F.min(F.struct("e.source", "e.predicate", "e.target", "e.side", "e.type"))["type"].alias("seen"))
+    every = entities.select("name", F.struct("type", F.coalesce("mention_count", F.lit(0)).alias("n")).alias("e"))
+    met = first.join(every, "name", "left").groupBy("name", "seen").agg(F.min(F.when(F.col("seen").isNull() | (F.col("seen") == F.col("e.type")), F.col("e"))).alias("e"))
+    return met.select(F.col("name").alias("id"), "name", F.coalesce("e.type", "seen").alias("type"), F.coalesce("e.n", F.lit(0)).cast("bigint").alias("mention_count"))
 
 
 def summary_context(entities: DataFrame, relations: DataFrame, label: str = "RELATION") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from kgweft.config import Config
 from kgweft.functions import parse, text, vector
 from kgweft.operators import search, traverse, upsert, views
-from kgweft.plans import retrieval
-from kgweft.session import ship, table
+from kgweft.plans import ingestion, responses, retrieval
+from kgweft.plans.extract import get_extractor
+from kgweft.schemas import ENTITY, RELATION
+from kgweft.session import checkpoint_dir, ship, table
 from kgweft.sources import catalog, fetch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -73,13 +76,22 @@ def kg_relation_sources(spark, d):
     return r.select("subject", "predicate", "obj", F.array_join("sources", "|").alias("sources"), "first_seen", "last_seen")
 
 
-@query(f"WITH {_EDGES} SELECT subject, predicate, obj, round(confidence, 6) AS confidence, mention_count FROM e")
+@query(
+    f"WITH {_EDGES}, m AS (SELECT *, coalesce(extracted_at >= TIMESTAMP '{SPLIT}', true) AS late FROM mentions WHERE subject IS NOT NULL AND obj IS NOT NULL), "
+    "p AS (SELECT subject, predicate, obj, source_id, late, min(seq) AS seq FROM m WHERE coalesce(source_id, '') <> '' GROUP BY ALL), "
+    "f AS (SELECT subject, predicate, obj, source_id, arg_min(seq, late) AS seq, min(late) AS late FROM p GROUP BY ALL), "
+    "l AS (SELECT subject, predicate, obj, string_agg(source_id, '|' ORDER BY late, seq, source_id) AS sources FROM f GROUP BY ALL), "
+    "t AS (SELECT subject, predicate, obj, epoch_ms(min(extracted_at)) AS first_seen, epoch_ms(max(extracted_at)) AS last_seen FROM m GROUP BY ALL) "
+    "SELECT e.subject, e.predicate, e.obj, round(confidence, 6) AS confidence, mention_count, coalesce(sources, '') AS sources, first_seen, last_seen FROM e "
+    "JOIN t ON t.subject = e.subject AND t.obj = e.obj AND t.predicate IS NOT DISTINCT FROM e.predicate "
+    "LEFT JOIN l ON l.subject = e.subject AND l.obj = e.obj AND l.predicate IS NOT DISTINCT FROM e.predicate"
+)
 def kg_relation_upsert_merge(spark, d):
-    """What was stored merged with a batch is what one fold over everything gives."""
+    """What was stored merged with a batch; of one source in both the stored place counts."""
     m = _mentions(spark, d)
     new = F.coalesce(F.col("extracted_at") >= F.lit(SPLIT).cast("timestamp_ntz"), F.lit(True))
     merged = upsert.merge_relations(upsert.relation_rollup(m.filter(~new)), upsert.relation_rollup(m.filter(new)))
-    return merged.select("subject", "predicate", "obj", F.round("confidence", 6).alias("confidence"), "mention_count")
+    return merged.select("subject", "predicate", "obj", F.round("confidence", 6).alias("confidence"), "mention_count", F.array_join("sources", "|").alias("sources"), "first_seen", "last_seen")
 
 
 _ENTITY_SQL = (
@@ -340,10 +352,17 @@ def _bm25_sql(words: list[str]) -> str:
 
 @query(_bm25_sql(["border", "dispute", "treaty"]))
 def fulltext_bm25(spark, d):
-    """F-T1, S13, O5."""
+    """F-T1, O5: one pass over the texts."""
     return search.bm25(table(spark, d, "documents"), "Treaty, border dispute", key="doc_id", text="text")
 
 
+@query(_bm25_sql(["coin", "guild", "treaty"]))
+def fulltext_index(spark, d):
+    """The stored inverted table, built and asked."""
+    index = search.FullText(spark, f"{checkpoint_dir(spark)}/fulltext-{uuid.uuid4().hex}")
+    return index.build(table(spark, d, "documents"), key="doc_id", text="text").search("guild treaty coin", key="doc_id")
+
+
 # -- text ----------------------------------------------------------------------------------------------------------------
 
 _NORM = "trim(regexp_replace(lower(coalesce({}, '')), '[^a-z0-9]+', ' ', 'g'))"
@@ -434,42 +453,48 @@ def parse_llm_json(spark, d):
 
 
 @query(
-    "SELECT seq, subject, predicate, obj, 0.85::DOUBLE AS confidence FROM (SELECT seq, " + ", ".join(f"regexp_replace({c}, '{_WS}', '', 'g') AS {c}" for c in ("subject", "predicate", "obj"))
-    + " FROM mentions WHERE NOT (contains(subject, '<') OR contains(obj, '<'))) WHERE subject <> '' AND predicate <> '' AND obj <> '' UNION ALL SELECT seq, 'second', 'follows', 'first', 0.85 FROM mentions WHERE NOT (contains(subject, '<') OR contains(obj, '<'))"
+    "WITH n AS (SELECT seq, " + ", ".join(f"regexp_replace(split_part({c}, '<', 1), '{_WS}', '', 'g') AS {c}" for c in ("subject", "predicate", "obj"))
+    + " FROM mentions WHERE subject IS NOT NULL AND predicate IS NOT NULL AND obj IS NOT NULL) SELECT seq, subject, predicate, obj, 0.85::DOUBLE AS confidence FROM n WHERE subject <> '' AND predicate <> '' AND obj <> '' "
+    "UNION ALL SELECT seq, 'second', 'follows', 'first', 0.85 FROM n"
 )
 def parse_tagged(spark, d):
-    """A record of each mention, one that lacks its object, and a last one."""
+    """A record of each mention, one that lacks its object, and a last one; a field ends at the next ``<``, whatever it opens."""
     raw = F.concat(
         F.lit("<s><triplet> head <subj> "), "subject", F.lit(" <rel> "), "predicate", F.lit(" <obj> "), "obj", F.lit(" <triplet> x <subj> lost <rel> r <triplet> <subj> second <rel> follows <obj> first</s>")
     )
-    rows = _mentions(spark, d).filter(~(F.contains("subject", F.lit("<")) | F.contains("obj", F.lit("<"))))
-    told = rows.select("seq", F.explode(parse.tagged_triples(raw)).alias("t"))
+    told = _mentions(spark, d).select("seq", F.explode(parse.tagged_triples(raw)).alias("t"))
     return told.select("seq", "t.subject", "t.predicate", "t.obj", "t.confidence")
 
 
 @query(
-    "WITH m AS (SELECT seq, subject AS s, obj AS o, ' ' || predicate || ' and beats ' AS mid FROM mentions WHERE length(subject) > 3 AND length(obj) > 3 AND NOT contains(subject, obj) AND NOT contains(obj, subject) AND NOT contains(subject, '.') AND NOT contains(obj, '.') "
-    "AND strpos(' ' || predicate || ' and beats ' || obj, subject) = 0 AND strpos(subject || ' ' || predicate || ' and beats ', obj) = 0 AND predicate IS NOT NULL) "
-    f"SELECT seq, s AS subject, CASE {RULES_SQL} ELSE 'related_to' END AS predicate, o AS obj FROM m"
+    "WITH m AS (SELECT seq, subject AS s, obj AS o, subject || ' ' || predicate || ' and beats ' || obj AS said FROM mentions), p AS (SELECT *, strpos(said, s) + length(s) AS beg FROM m), "
+    "b AS (SELECT *, substr(said, beg, greatest(0, strpos(said, o) - beg)) AS mid FROM p) "
+    f"SELECT seq, s AS subject, CASE {RULES_SQL} ELSE 'related_to' END AS predicate, o AS obj FROM b"
 )
 def rule_predicate_pairs(spark, d):
-    """Sentences built of all mentions."""
-    m = _mentions(spark, d).withColumn("mid", F.concat(F.lit(" "), "predicate", F.lit(" and beats ")))
-    clean = (F.length("subject") > 3) & (F.length("obj") > 3) & ~F.contains("subject", F.col("obj")) & ~F.contains("obj", F.col("subject")) & ~F.contains("subject", F.lit(".")) & ~F.contains("obj", F.lit("."))
-    apart = (F.instr(F.concat("mid", "obj"), F.col("subject")) == 0) & (F.instr(F.concat("subject", "mid"), F.col("obj")) == 0)
-    rows = m.filter(clean & apart & F.col("predicate").isNotNull())
-    said = F.concat("subject", "mid", "obj")
-    told = rows.select("seq", F.explode(parse.entity_pairs(said, F.array("subject", "obj"))).alias("t"))
+    """sentences built of all mentions, with names that overlap, repeat or stand in each other."""
+    said = F.concat("subject", F.lit(" "), "predicate", F.lit(" and beats "), "obj")
+    told = _mentions(spark, d).select("seq", F.explode(parse.entity_pairs(said, F.array("subject", "obj"))).alias("t"))
     return told.select("seq", "t.subject", "t.predicate", "t.obj")
 
 
 @query(
-    "WITH s AS (SELECT doc_id, unnest(list_slice(list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: regexp_replace(x, '" + _WIDE + "', '', 'g')), lambda x: length(x) > 20), 1, 30)) AS x FROM documents WHERE lang = 'en') "
+    "SELECT seq, array_to_string(list_filter([CASE WHEN confidence >= 0.5 THEN subject END, CASE WHEN confidence * 0.8 >= 0.5 THEN obj END], lambda x: x IS NOT NULL), '|') AS names FROM mentions WHERE subject IS NOT NULL AND obj IS NOT NULL"
+)
+def entity_score_filter(spark, d):
+    """Recognised entities with a score of at least 0.5; none has no score."""
+    m = _mentions(spark, d).filter("subject IS NOT NULL AND obj IS NOT NULL")
+    found = F.array(F.struct(F.col("subject").alias("text"), F.col("confidence").alias("score")), F.struct(F.col("obj").alias("text"), (F.col("confidence") * 0.8).alias("score")))
+    return m.select("seq", F.array_join(parse.scored_entities(found), "|").alias("names"))
+
+
+@query(
+    "WITH s AS (SELECT doc_id, unnest(list_slice(list_filter(list_transform(string_split(coalesce(text, ''), '.'), lambda x: regexp_replace(x, '" + _WIDE + "', '', 'g')), lambda x: length(x) > 20), 1, 30)) AS x FROM documents) "
     "SELECT doc_id, count(*) AS sentences, sum(length(x))::BIGINT AS characters FROM s GROUP BY doc_id"
 )
 def sentence_split(spark, d):
     """P14, O9, F9."""
-    s = table(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.explode(parse.sentences(F.col("text"))).alias("x"))
+    s = table(spark, d, "documents").select("doc_id", F.explode(parse.sentences(F.col("text"))).alias("x"))
     return s.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.length("x")).cast("bigint").alias("characters"))
 
 
@@ -505,24 +530,34 @@ def paper_topk_citations(spark, d):
 )
 def fetch_by_title(spark, d):
     """S2, O1."""
-    docs = table(spark, d, "papers")
-    hits = docs.filter(text.title_matches(F.lit(_ASKED), F.col("title")))
-    return hits.orderBy(F.coalesce("citations", F.lit(0)).desc(), F.coalesce("title", F.lit("")), "id", "rec_id").limit(5).select("rec_id", "title")
+    return fetch.by_title(table(spark, d, "papers"), _ASKED, 5).select("rec_id", "title")
 
 
 @query("SELECT rec_id, title FROM papers WHERE contains(lower(coalesce(title, '')), 'border dispute') ORDER BY title, id, rec_id LIMIT 10")
 def fetch_title_fallback(spark, d):
     """S2, O2."""
-    docs = table(spark, d, "papers")
-    return docs.filter(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lit("border dispute"))).orderBy("title", "id", "rec_id").limit(10).select("rec_id", "title")
+    return fetch.by_exact_title(table(spark, d, "papers"), "Border Dispute", 10).select("rec_id", "title")
+
+
+@query(f"SELECT rec_id FROM papers WHERE contains({_NORM.format("concat_ws(' ', title, abstract)")}, 'border dispute')")
+def fetch_by_text(spark, d):
+    """Every record whose title and abstract contain the words."""
+    return fetch.by_text(table(spark, d, "papers"), "Border -- dispute", None).select("rec_id")
 
 
 @query("SELECT rec_id, id FROM papers WHERE id IN (SELECT id FROM papers WHERE id <> '' GROUP BY id HAVING count(*) > 1)")
 def fetch_by_ids(spark, d):
-    """All records of the ids that were fetched more than once."""
+    """All records of the ids that were fetched more than once."""
     p = table(spark, d, "papers")
-    again = p.filter("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    return p.join(again, "id", "left_semi").select("rec_id", "id")
+    return fetch.by_ids(p, p.filter("id <> ''").groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")).select("rec_id", "id")
+
+
+@query("SELECT entity_id, name, type, mention_count FROM entities WHERE name = (SELECT min(name) FROM entities) AND type = (SELECT min(type) FROM entities WHERE name = (SELECT min(name) FROM entities))")
+def kg_point_lookup(spark, d):
+    """The node of one name and type."""
+    e = table(spark, d, "entities")
+    first = e.filter("name IS NOT NULL").orderBy("name", "type").first()
+    return views.node(e, first["name"], first["type"]).select("entity_id", "name", "type", "mention_count")
 
 
 @query("SELECT rec_id, title FROM papers WHERE source = 'arxiv_curated'")
@@ -548,11 +583,29 @@ def payload_documents(spark, d):
     return docs.select("id", "title", "abstract", F.array_join("authors", "|").alias("authors"), "url", "citations", "published_date")
 
 
-@query("SELECT feed, doc_id, rn FROM (SELECT feed, doc_id, row_number() OVER (PARTITION BY feed ORDER BY fetched_at, doc_id) AS rn FROM documents) WHERE rn <= 10")
+@query(
+    "SELECT feed, md5('http://feed.example/' || doc_id) AS id, doc_id::VARCHAR AS title, rn FROM (SELECT feed, doc_id, row_number() OVER (PARTITION BY feed ORDER BY fetched_at, doc_id) AS rn FROM documents) WHERE rn <= 10"
+)
 def rss_head_per_feed(spark, d):
-    """S5, U5."""
-    kept = fetch.head_per_feed(table(spark, d, "documents"), "feed", [F.col("fetched_at").asc_nulls_last(), "doc_id"], 10)
-    return kept.select("feed", "doc_id", F.col("rn").cast("bigint").alias("rn"))
+    """A page of each document, the pages of a feed in the order in which they came."""
+    item = F.concat(F.lit("<rss><channel><item><title>"), "doc_id", F.lit("</title><link>http://feed.example/"), "doc_id", F.lit("</link></item></channel></rss>"))
+    pages = table(spark, d, "documents").select("feed", "doc_id", "fetched_at", item.alias("xml"), F.col("fetched_at").isNull().alias("undated"))
+    return fetch.feed_entries(pages, "feed", "xml", 10, ["undated", "fetched_at", "doc_id"]).select("feed", "id", "title", F.col("rn").cast("bigint").alias("rn"))
+
+
+@query("SELECT rec_id, coalesce(strftime(fetched_at, '%Y-%m-%dT%H:%M:%S'), '') AS fetched FROM papers")
+def iso_dates(spark, d):
+    """F23."""
+    return table(spark, d, "papers").select("rec_id", text.iso(F.col("fetched_at")).alias("fetched"))
+
+
+@query(
+    "SELECT '{\"title\":' || to_json(name) || ',\"type\":' || to_json(type) || ',\"text_length\":' || length(text) || '}' AS json FROM entities WHERE type IN ('Paper', 'Document') AND text IS NOT NULL AND entity_id IN (SELECT min(entity_id) FROM entities GROUP BY name, type, length(text))"
+)
+def json_history(spark, d):
+    """Every row of the history as the JSON of the answer."""
+    e = table(spark, d, "entities")
+    return responses.as_json(views.history(e, None), "history")
 
 
 @query("SELECT rec_id, md5(coalesce(url, title)) AS entry_id FROM papers")
@@ -586,7 +639,7 @@ def route_whitelist(spark, d):
 
 @query(
     _TWO_HOP.format(seed=_HIT, verb="'RELATION'") + ", t AS (SELECT *, confidence * 5 AS f FROM q ORDER BY retrieval_score DESC, subject, obj, predicate, confidence, mention_count LIMIT 40) "
-    "SELECT '  (' || subject || ') --[' || predicate || ']--> (' || obj || ')  [conf=' || printf('%.2f', confidence) || ' ' || repeat('★', least(5, CAST(round_even(f, 0) AS INTEGER))) || ', seen ' || mention_count || 'x]' AS line FROM t"
+    "SELECT rpad(repeat('★', least(5, CAST(round_even(f, 0) AS INTEGER))), 5, '.') || ' ' || subject || ' | ' || predicate || ' | ' || obj || '  {confidence: ' || printf('%.2f', confidence) || ', mentions: ' || mention_count || '}' AS line FROM t"
 )
 def context_format(spark, d):
     """C6, F13 to F16."""
@@ -595,13 +648,20 @@ def context_format(spark, d):
 
 @query(
     _TWO_HOP.format(seed=_HIT, verb="'RELATION'") + f", t AS (SELECT 'triple' AS part, subject || ' > ' || obj AS name, retrieval_score AS score FROM q ORDER BY retrieval_score DESC, subject, obj, predicate, confidence, mention_count LIMIT 40), "
-    f"{_UNIT}, z AS (SELECT * FROM v ORDER BY vec_id LIMIT 1), w AS (SELECT 'excerpt' AS part, v.vec_id::VARCHAR AS name, round(list_dot_product(v.x, z.x) / (v.n * z.n), 6) AS score FROM v, z ORDER BY score DESC, v.vec_id LIMIT 5) "
-    "SELECT * FROM t UNION ALL SELECT * FROM w"
+    f"{_UNIT}, z AS (SELECT * FROM v ORDER BY vec_id LIMIT 1), w AS (SELECT 'excerpt' AS part, v.vec_id::VARCHAR AS name, round(list_dot_product(v.x, z.x) / (v.n * z.n), 6) AS score FROM v, z ORDER BY score DESC, v.vec_id::VARCHAR LIMIT 5) "
+    "SELECT * FROM t UNION ALL SELECT w.* FROM w JOIN documents d ON d.doc_id::VARCHAR = w.name WHERE coalesce(d.text, '') <> '' "
+    "UNION ALL SELECT 'count', c, n FROM (SELECT 'triples' AS c, count(*)::DOUBLE AS n FROM t UNION ALL SELECT 'route ' || 'hybrid', 1)"
 )
 def retrieve_hybrid(spark, d):
-    """Both halves of a hybrid answer in one table."""
-    t = kg_two_hop_topk(spark, d).select(F.lit("triple").alias("part"), F.concat("subject", F.lit(" > "), "obj").alias("name"), F.col("retrieval_score").alias("score"))
-    return t.unionByName(vec_topk(spark, d).select(F.lit("excerpt").alias("part"), F.col("vec_id").cast("string").alias("name"), "score"))
+    """The retrieval plan over nodes made of the vectors' documents: route, seeds, neighbourhood, excerpts, and the counts of the answer."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    nodes = table(spark, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").cast("string").alias("name"), F.lit("Document").alias("type"), "text", "embedding")
+    plan = retrieval.Retriever(nodes, upsert.relation_totals(_mentions(spark, d)), seeds=lambda q: [SEED], embed=lambda q: _first_vector(spark, d))
+    told = plan.retrieve("What lies near this?")
+    triples = told.triples.select(F.lit("triple").alias("part"), F.concat("subject", F.lit(" > "), "obj").alias("name"), F.col("retrieval_score").alias("score"))
+    excerpts = told.excerpts.select(F.lit("excerpt").alias("part"), F.col("doc_id").alias("name"), "score")
+    counts = spark.createDataFrame([("count", "triples", float(retrieval.answer(told)["graph_triple_count"])), ("count", f"route {told.route}", 1.0)], "part string, name string, score double")
+    return triples.unionByName(excerpts).unionByName(counts)
 
 
 @query("SELECT seq, len(s) AS seeds, array_to_string(s, '|') AS names FROM (SELECT seq, list_filter(list_transform(string_split(subject || ' , ,' || obj, ','), lambda x: regexp_replace(x, '" + _WS + "', '', 'g')), lambda x: x <> '') AS s FROM mentions WHERE subject IS NOT NULL AND obj IS NOT NULL)")
@@ -619,8 +679,96 @@ def falsy_and_split(spark, d):
     return _mentions(spark, d).select("seq", text.falsy(F.col("confidence"), 1.0).alias("confidence"), whole.alias("whole"))
 
 
-@query("SELECT count(DISTINCT source_id) AS documents, count(*) AS triples FROM mentions WHERE coalesce(source_id, '') <> ''")
+def _told(text_column: F.Column) -> F.Column:
+    """A model's answer that follows from the length of what it sees, so that SQL can tell which text it saw."""
+    n = F.length(text_column)
+    return F.concat(
+        F.lit('[{"subject": "topic '), (n % 7).cast("string"), F.lit('", "subject_type": "Concept", "predicate": "bears on", "object": "Area '), (n % 5).cast("string"),
+        F.lit('", "confidence": "0.'), (n % 9 + 1).cast("string"), F.lit('"}]'),
+    )
+
+
+_TOLD_SQL = "'topic ' || (n % 7) AS subject, 'Concept' AS subject_type, 'bears on' AS predicate, 'Area ' || (n % 5) AS obj, 'Unknown' AS obj_type, (n % 9 + 1) / 10.0 AS confidence"
+_PAPERS_SQL = "d AS (SELECT *, rec_id AS ord, least(4000, length(coalesce(title, '') || '. ' || coalesce(abstract, ''))) AS n FROM papers)"
+
+
+def _papers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, d, "papers").withColumn("ord", F.col("rec_id"))
+    return docs, ingestion.mentions(docs, get_extractor("llm", _told))
+
+
+@query(f"WITH {_PAPERS_SQL} SELECT count(*) AS documents, count(n) AS triples FROM d")
 def ingest_totals(spark, d):
-    """A11."""
-    m = _mentions(spark, d).filter(F.coalesce("source_id", F.lit("")) != "")
-    return m.agg(F.countDistinct("source_id").alias("documents"), F.count(F.lit(1)).alias("triples"))
+    """The totals of an ingest."""
+    return ingestion.totals(*_papers(spark, d))
+
+
+@query(
+    f"WITH {_PAPERS_SQL}, m AS (SELECT {_TOLD_SQL} FROM d), "
+    "ev AS (SELECT title AS name, 'Paper' AS type FROM d WHERE title IS NOT NULL UNION ALL SELECT subject, subject_type FROM m UNION ALL SELECT obj, obj_type FROM m), "
+    "b AS (SELECT name, type, count(*) AS n FROM ev GROUP BY ALL), "
+    "p AS (SELECT title AS name, arg_max_null(url, ord) AS url, arg_max_null(source, ord) AS source, arg_max_null(citations, ord) AS citations, arg_max(title || '. ' || coalesce(abstract, ''), ord) AS text FROM d WHERE title IS NOT NULL GROUP BY title) "
+    "SELECT coalesce(e.name, b.name) AS name, coalesce(e.type, b.type) AS type, CASE WHEN b.n IS NULL THEN e.mention_count ELSE coalesce(e.mention_count, 0) + b.n END AS mention_count, "
+    "CASE WHEN e.entity_id IS NULL THEN 77 ELSE e.created END AS created, CASE WHEN e.entity_id IS NOT NULL AND b.n > 0 OR b.n > 1 THEN 77 ELSE e.updated END AS updated, "
+    "CASE WHEN b.type = 'Paper' AND p.name IS NOT NULL THEN p.url ELSE e.url END AS url, CASE WHEN b.type = 'Paper' AND p.name IS NOT NULL THEN p.source ELSE e.source END AS source, "
+    "CASE WHEN b.type = 'Paper' AND p.name IS NOT NULL THEN p.citations ELSE e.citations END AS citations, md5(coalesce(p.text, e.text)) AS text_md5, e.summary AS summary "
+    "FROM entities e FULL JOIN b ON e.name = b.name AND e.type = b.type LEFT JOIN p ON p.name = coalesce(e.name, b.name)"
+)
+def ingest_entities(spark, d):
+    """C11, K1, K4: all papers, those with shared, empty and no ids included, folded into the stored entities."""
+    docs, triples = _papers(spark, d)
+    held = table(spark, d, "entities").select(*[c.split(" ")[0] for c in ENTITY.split(", ")])
+    after = ingestion.fold(held, spark.createDataFrame([], RELATION), docs, triples, now=F.lit(77).cast("bigint"))
+    return after.entities.select("name", "type", "mention_count", "created", "updated", "url", "source", "citations", F.md5("text").alias("text_md5"), "summary")
+
+
+@query(
+    "WITH d AS (SELECT *, CASE WHEN coalesce(doc_id, '') = '' THEN title ELSE doc_id END AS source_id, request_no % 2 AS late, least(4000, length(text)) AS n FROM ingest_texts WHERE text IS NOT NULL), "
+    f"m AS (SELECT request_no, source_id, late, {_TOLD_SQL} FROM d), "
+    "f AS (SELECT subject, obj, source_id, min((late, request_no)) AS place FROM m WHERE coalesce(source_id, '') <> '' GROUP BY ALL), "
+    "l AS (SELECT subject, obj, string_agg(source_id, '|' ORDER BY place, source_id) AS sources FROM f GROUP BY ALL) "
+    "SELECT m.subject, subject_type, predicate, m.obj, obj_type, round(avg(confidence), 6) AS confidence, count(*) AS mention_count, coalesce(any_value(sources), '') AS sources "
+    "FROM m LEFT JOIN l ON l.subject = m.subject AND l.obj = m.obj GROUP BY ALL"
+)
+def ingest_relations(spark, d):
+    """Uploaded texts, two batches one after the other; a model sees more of a text than its node shows."""
+    t = table(spark, d, "ingest_texts").filter("text IS NOT NULL")
+    docs = t.select(F.coalesce(F.nullif("doc_id", F.lit("")), "title").alias("id"), "title", F.substring("text", 1, ingestion.SHOWN).alias("abstract"), F.col("text").alias("body"), F.col("request_no").alias("ord"))
+    entities, relations = spark.createDataFrame([], ENTITY), spark.createDataFrame([], RELATION)
+    for late in (0, 1):
+        part = docs.filter(F.col("ord") % 2 == late)
+        after = ingestion.fold(entities, relations, part, ingestion.mentions(part, get_extractor("llm", _told)), kind="Document", now=F.lit(late).cast("bigint"))
+        entities, relations = after.entities, after.relations
+    return relations.select("subject", "subject_type", "predicate", "obj", "obj_type", F.round("confidence", 6).alias("confidence"), "mention_count", F.array_join("sources", "|").alias("sources"))
+
+
+@query(
+    f"WITH {_UNIT}, q AS (SELECT vec_id, label, 'probe ' || vec_id AS name FROM v WHERE vec_id % 20 = 0 UNION ALL SELECT vec_id, label, 'node ' || vec_id FROM v WHERE vec_id % 20 = 1), "
+    "s AS (SELECT q.name, q.label, v.vec_id AS node, v.label AS node_label, row_number() OVER (PARTITION BY q.name ORDER BY round(v.x[q.vec_id % 64 + 1] / v.n, 6) DESC) AS rank, round(v.x[q.vec_id % 64 + 1] / v.n, 6) AS score FROM q JOIN v ON q.name LIKE 'probe%'), "
+    "r AS (SELECT q.name, q.label, CASE WHEN s.label = s.node_label AND s.score >= 0.3 THEN 'node ' || s.node ELSE q.name END AS resolved FROM q LEFT JOIN s ON s.name = q.name AND s.rank = 1), "
+    "b AS (SELECT resolved AS name, label::VARCHAR AS type, count(*) AS n FROM r GROUP BY ALL UNION ALL SELECT 'Area 0', 'Unknown', count(*) FROM r), "
+    "e AS (SELECT 'node ' || vec_id AS name, label::VARCHAR AS type FROM v) "
+    "SELECT coalesce(e.name, b.name) AS name, coalesce(e.type, b.type) AS type, b.n AS mention_count, (SELECT count(*) FROM r WHERE r.name = coalesce(e.name, b.name)) AS edges FROM e FULL JOIN b ON e.name = b.name AND e.type = b.type "
+    "UNION ALL SELECT name, 'unknown', NULL, 1 FROM r WHERE resolved <> name"
+)
+def ingest_resolved(spark, d):
+    """Names taken over by stored nodes. A stored name is itself; others go by the nearest vector of all; edges keep
+    the name as read, which makes a node where the name's own was taken over, and bind it."""
+    ship(spark)
+    v = table(spark, d, "embeddings").filter("embedding IS NOT NULL")
+    empty = spark.createDataFrame([], ENTITY)
+    stored = empty.unionByName(v.select(F.concat(F.lit("node "), "vec_id").alias("name"), F.col("label").cast("string").alias("type"), "embedding"), allowMissingColumns=True)
+    name = F.concat(F.when(F.col("vec_id") % 20 == 0, "probe ").otherwise("node "), "vec_id")
+    docs = v.filter("vec_id % 20 IN (0, 1)").select(
+        F.col("vec_id").alias("ord"), F.lit("").alias("id"), F.lit(None).cast("string").alias("title"), F.lit(None).cast("string").alias("abstract"), F.concat(name, F.lit("|"), "label").alias("body")
+    )
+    say = lambda t: F.concat(
+        F.lit('[{"subject": "'), F.substring_index(t, "|", 1), F.lit('", "subject_type": "'), F.substring_index(t, "|", -1), F.lit('", "predicate": "bears on", "object": "Area 0"}]')
+    )
+    axis = lambda n: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.when(i == F.substring_index(n, " ", -1).cast("int") % 64, 1.0).otherwise(0.0))
+    embed = lambda n: F.when(n.startswith("Area"), F.lit(None)).otherwise(axis(n))
+    triples = ingestion.mentions(docs, get_extractor("llm", say))
+    resolved = ingestion.resolve(stored, ingestion.events(docs, triples, "Paper"), embed, Config(entity_merge_threshold=0.3))
+    after = ingestion.fold(stored, spark.createDataFrame([], RELATION), docs, triples, resolved=resolved, now=F.lit(1).cast("bigint"))
+    edges = after.relations.groupBy(F.col("subject").alias("name"), F.col("subject_type").alias("type")).agg(F.sum("mention_count").alias("edges"))
+    return after.entities.join(edges, ["name", "type"], "left").select("name", "type", "mention_count", F.coalesce("edges", F.lit(0)).alias("edges"))

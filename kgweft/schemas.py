@@ -7,7 +7,7 @@ ENTITY = (
     "citations bigint, text string, embedding array<float>, summary string"
 )
 RELATION = (
-    "subject string, predicate string, obj string, sources array<string>, confidence double, first_seen bigint, last_seen bigint, mention_count bigint"
+    "subject string, subject_type string, predicate string, obj string, obj_type string, sources array<string>, confidence double, first_seen bigint, last_seen bigint, mention_count bigint"
 )
 DOCUMENT_TYPES = ["Paper", "Document"]
 UNKNOWN = "unknown"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from functools import reduce
 
@@ -25,20 +26,26 @@ def documents_of(payloads: DataFrame, raw: str, source: str, prefix: str) -> Dat
     )
 
 
-def by_ids(docs: DataFrame, ids: list[str]) -> DataFrame:
-    return docs.filter(F.col("id").isin(ids))
+def by_ids(docs: DataFrame, ids: list[str] | DataFrame) -> DataFrame:
+    """All records of some ids: a short list, or a column of any length."""
+    return docs.join(ids, "id", "left_semi") if isinstance(ids, DataFrame) else docs.filter(F.col("id").isin(ids))
+
+
+def _last(docs: DataFrame) -> list[str]:
+    """What decides between records that are equal so far."""
+    return ["id", *(["rec_id"] if "rec_id" in docs.columns else [])]
 
 
 def by_title(docs: DataFrame, query: str, limit: int = 5, threshold: float = 0.35) -> DataFrame:
     """Best cited first, then by title."""
     asked = strip(F.lit(query or ""))
     hits = docs.filter((asked != "") & title_matches(asked, F.col("title"), threshold))
-    return hits.orderBy(F.coalesce("citations", F.lit(0)).desc(), F.coalesce("title", F.lit("")), "id").limit(limit)
+    return hits.orderBy(F.coalesce("citations", F.lit(0)).desc(), F.coalesce("title", F.lit("")), *_last(docs)).limit(limit)
 
 
 def by_exact_title(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
     """Titles that contain the query, in the order of titles."""
-    return docs.filter(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.lit(query)))).orderBy("title", "id").limit(limit)
+    return docs.filter(F.contains(F.lower(F.coalesce("title", F.lit(""))), F.lower(F.lit(query)))).orderBy("title", *_last(docs)).limit(limit)
 
 
 def by_citations(docs: DataFrame, limit: int | None = 10) -> DataFrame:
@@ -47,9 +54,11 @@ def by_citations(docs: DataFrame, limit: int | None = 10) -> DataFrame:
     return rows.limit(limit) if limit else rows
 
 
-def by_text(docs: DataFrame, query: str, limit: int = 5) -> DataFrame:
+def by_text(docs: DataFrame, query: str, limit: int | None = 5) -> DataFrame:
+    """Documents whose title and abstract contain the query; in the order of ids, or all of them in no order."""
     body = normalize(F.concat_ws(" ", "title", "abstract"))
-    return docs.filter(F.contains(body, normalize(F.lit(query)))).orderBy("id").limit(limit)
+    hits = docs.filter(F.contains(body, normalize(F.lit(query))))
+    return hits.orderBy(*_last(docs)).limit(limit) if limit else hits
 
 
 def first_filled(branches: list[DataFrame]) -> DataFrame:
@@ -61,13 +70,18 @@ def first_filled(branches: list[DataFrame]) -> DataFrame:
 
 
 class Fetcher:
-    """Chooses a source for a topic: title, curated ids, citations, free text. Answers are kept by topic and limit."""
+    """Chooses a source for a topic: title, curated ids, citations, free text. Answers are kept by topic and limit.
 
-    def __init__(self, docs: DataFrame, title: Callable | None = None, curated: Callable | None = None, cited: Callable | None = None, free: Callable | None = None):
-        self.docs = docs
+    Where the citation source fails, the free-text source answers after ``wait`` seconds.
+    """
+
+    def __init__(
+        self, docs: DataFrame, title: Callable | None = None, curated: Callable | None = None, cited: Callable | None = None, free: Callable | None = None, wait: float = 5.0,
+    ):
+        self.docs, self.wait = docs, wait
         self.title = title or (lambda q, n: by_title(docs, q, n))
         self.curated = curated or (lambda ids: by_ids(docs, ids))
-        self.cited = cited or (lambda q, n: by_citations(by_text(docs, q, 1 << 30), n))
+        self.cited = cited or (lambda q, n: by_citations(by_text(docs, q, None), n))
         self.free = free or (lambda q, n: by_text(docs, q, n))
         self.kept: dict[str, DataFrame] = {}
 
@@ -85,8 +99,13 @@ class Fetcher:
             return found
         if about["topic"] and not (found := self.curated(TOPICS[about["topic"]])).isEmpty():
             return found
-        found = self.cited(asked.lower(), limit)
-        return found if not found.isEmpty() else self.free(asked.lower(), limit)
+        try:
+            found = self.cited(asked.lower(), limit)
+            if not found.isEmpty():
+                return found
+        except Exception:  # noqa: BLE001 - a failing service is followed by the next
+            time.sleep(self.wait)
+        return self.free(asked.lower(), limit)
 
 
 def head_per_feed(entries: DataFrame, feed: str, order: list[Column | str], n: int) -> DataFrame:
@@ -102,13 +121,17 @@ def entry_id(link: Column, title: Column) -> Column:
     return F.md5(F.coalesce(link, title))
 
 
-def feed_entries(pages: DataFrame, feed: str, xml: str, n: int = 10) -> DataFrame:
-    """Entries of RSS pages (one XML text a row) as document records; a page that is no XML gives none."""
+def feed_entries(pages: DataFrame, feed: str, xml: str, n: int = 10, order: list[str] | None = None) -> DataFrame:
+    """The first ``n`` entries of each feed as document records; a page that is no XML gives none.
+
+    A feed may have several pages (one XML text a row), read in the ``order`` of their columns.
+    """
     item = "struct<channel: struct<item: array<struct<title: string, link: string, description: string, pubDate: string>>>>"
-    told = pages.select(F.col(feed).alias("feed"), F.posexplode(F.from_xml(F.col(xml), item)["channel"]["item"]).alias("pos", "e"))
-    kept = head_per_feed(told, "feed", ["pos"], n)
+    place = F.struct(*(order or [F.lit(0).alias("page")]))
+    told = pages.select(F.col(feed).alias("feed"), place.alias("page"), F.posexplode(F.from_xml(F.col(xml), item)["channel"]["item"]).alias("pos", "e"))
+    kept = head_per_feed(told, "feed", ["page", "pos"], n)
     return kept.select(
-        "feed", entry_id(F.col("e.link"), F.col("e.title")).alias("id"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.description", F.lit("")).alias("abstract"),
+        "feed", "rn", entry_id(F.col("e.link"), F.col("e.title")).alias("id"), F.coalesce("e.title", F.lit("")).alias("title"), F.coalesce("e.description", F.lit("")).alias("abstract"),
         F.array().cast("array<string>").alias("authors"), F.lit("rss").alias("source"), F.coalesce("e.link", F.lit("")).alias("url"),
         F.coalesce("e.pubDate", F.lit("")).alias("published_date"), F.lit(None).cast("bigint").alias("citations"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -23,8 +23,8 @@ def ingest(stream: DataFrame, engine: Engine, checkpoint: str, once: bool = Fals
     def upsert(batch: DataFrame, number: int) -> None:
         if batch.isEmpty():
             return
-        order = Window.orderBy("received_at", "id")  # of one micro-batch
-        engine.ingest(batch.withColumn("ord", F.row_number().over(order).cast("bigint")), batch=f"stream-{number}")
+        placed = batch.orderBy("received_at", "id").withColumn("ord", F.monotonically_increasing_id())  # rises along the sorted partitions
+        engine.ingest(placed, batch=f"stream-{number}")
 
     writer = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
