@@ -38,6 +38,13 @@ def p2_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.matches(table(spark, sf_dir, "papers"), table(spark, sf_dir, "index_papers"))
 
 
+def p2_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule's confidence rests on."""
+    ship(spark)
+    papers, index = table(spark, sf_dir, "papers"), table(spark, sf_dir, "index_papers")
+    return matching.precision(matching.match(papers, index), papers, index).withColumn("confidence", F.round("confidence", 6))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return vectors.pairs(vectors.neighbours(table(spark, sf_dir, "entities")))
@@ -117,7 +124,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "p1_found": p1_found, "p1_batches": p1_batches, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches,
+        "p1_found": p1_found, "p1_batches": p1_batches, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches, "p2_rules": p2_rules,
         "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_entities": p4_entities,
         "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces,
         "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage,

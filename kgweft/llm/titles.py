@@ -5,9 +5,9 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
+from functools import lru_cache
 
 from kgweft.llm.markup import Parser, render
-from kgweft.llm.names import within
 
 # Wording of versions (the same paper) and of issues and follow-ups (another paper).
 _VERSION = re.compile(
@@ -62,18 +62,25 @@ def told(title: str | None) -> tuple[str, str, bool]:
     return " ".join(core), " ".join(sorted(set(marks))), front
 
 
-def content(core: str) -> list[str]:
-    return [w for w in core.split() if w not in _SMALL]
+@lru_cache(maxsize=50_000)
+def content(core: str) -> tuple[str, ...]:
+    return tuple(w for w in core.split() if w not in _SMALL)
 
 
 def slip(a: str, b: str) -> bool:
     """One letter more, less or other, or two neighbours exchanged."""
-    if a == b or within(a, b, 1):
+    if a == b:
         return True
-    if len(a) != len(b):
+    x, y = len(a), len(b)
+    if not -2 < x - y < 2:
         return False
-    d = [i for i in range(len(a)) if a[i] != b[i]]
-    return len(d) == 2 and d[1] == d[0] + 1 and a[d[0]] == b[d[1]] and a[d[1]] == b[d[0]]
+    at = 0
+    while at < x and at < y and a[at] == b[at]:
+        at += 1
+    while x > at and y > at and a[x - 1] == b[y - 1]:
+        x, y = x - 1, y - 1
+    # what lies between the common beginning and the common end
+    return x - at < 2 and y - at < 2 or x == y == at + 2 and a[at] == b[at + 1] and a[at + 1] == b[at]
 
 
 def alike(a: str, b: str) -> float:
