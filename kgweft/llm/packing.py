@@ -59,14 +59,14 @@ def _pack(items: DataFrame, capacity: int, shards: int) -> DataFrame:
     kind = dict(items.dtypes)["item"]
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["n_tokens", "item", "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["n_tokens", "item", "piece", "copy"], ascending=[False, True, True, True], kind="stable")
         group["bin"] = sum_of_squares(group["n_tokens"].to_numpy(), capacity)
         group["filled"] = group.groupby("bin")["n_tokens"].transform("sum")
-        return group[["shard", "item", "piece", "start_token", "n_tokens", "bin", "filled"]]
+        return group[["shard", "item", "copy", "piece", "start_token", "n_tokens", "bin", "filled"]]
 
-    schema = f"shard long, item {kind}, piece int, start_token long, n_tokens long, bin long, filled long"
+    schema = f"shard long, item {kind}, copy long, piece int, start_token long, n_tokens long, bin long, filled long"
     # a number of tasks that follows the shards: they are few bytes and much work, and would be put together by size
-    spread = items.select("shard", "item", "piece", "start_token", "n_tokens").repartition(shards, "shard")
+    spread = items.select("shard", "item", "copy", "piece", "start_token", "n_tokens").repartition(shards, "shard")
     return spread.groupBy("shard").applyInPandas(run, schema)
 
 
@@ -81,13 +81,16 @@ def pack(
     ignored. The result is the same on every run.
     """
     sized = sizes.select(F.col(key).alias("item"), F.col("n_tokens").cast("long").alias("n")).filter("n > 0")
+    # repeated rows are counted and numbered, so that they are dealt out like any others
+    counted = sized.groupBy("item", "n").agg(F.count(F.lit(1)).alias("times"))
+    each = counted.select("item", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("copy"))
     parts = cut(
-        sized.select("item", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("piece", "start_token"))
-        .select("item", "piece", "start_token", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start_token")).alias("n_tokens"))
+        each.select("item", "copy", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(capacity).cast("long"))).alias("piece", "start_token"))
+        .select("item", "copy", "piece", "start_token", F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("start_token")).alias("n_tokens"))
     )
     total = parts.count()
     shards = max(1, -(-total // rows_per_shard))
-    spread = F.pmod(F.xxhash64("item", "piece", "n_tokens"), F.lit(shards))
+    spread = F.pmod(F.xxhash64("item", "copy", "piece", "n_tokens"), F.lit(shards))
     first = cut(_pack(parts.withColumn("shard", spread), capacity, shards))
     if shards == 1:
         packed = first
@@ -95,7 +98,7 @@ def pack(
         poor = F.col("filled") < refill * capacity
         again = first.filter(poor)
         fewer = max(1, -(-again.count() // rows_per_shard))
-        spread = F.lit(shards) + F.pmod(F.xxhash64("item", "piece", "n_tokens"), F.lit(fewer))
+        spread = F.lit(shards) + F.pmod(F.xxhash64("item", "copy", "piece", "n_tokens"), F.lit(fewer))
         packed = first.filter(~poor).unionByName(_pack(again.withColumn("shard", spread), capacity, fewer))
     container = (F.col("shard") * F.lit(1 << 32) + F.col("bin")).alias("container_id")
     return packed.select(container, F.col("item").alias(key), "piece", "start_token", "n_tokens")

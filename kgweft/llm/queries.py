@@ -53,7 +53,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = vectors.neighbours(table(spark, sf_dir, "entities"))
-    return found.withColumn("cosine", F.round("cosine", 5))
+    return found.withColumn("cosine", F.round("cosine", 4)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +86,18 @@ def p6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split(table(spark, sf_dir, "ingest_texts"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pieces of each text add up to."""
+    ship(spark)
+    pieces = splitting.split(table(spark, sf_dir, "ingest_texts"))
+    new = F.struct("piece", F.expr("substring(text, overlap + 1)").alias("text"))
+    told = pieces.groupBy("request_no").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda p: p["text"]), "").alias("text"), F.max(F.length("text") > 2000).alias("too_long"),
+        F.max(F.col("overlap") > 200).alias("too_much_repeated"), (F.count(F.lit(1)) > 1).alias("cut"),
+    )
+    return told.select("request_no", F.md5("text").alias("text_md5"), "too_long", "too_much_repeated", "cut")
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     found = survivor.survivors(table(spark, sf_dir, "paper_copies"), table(spark, sf_dir, "fetch_sources"))
@@ -102,6 +114,14 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ids of each text say."""
+    ship(spark)
+    ids = tokens.encode(table(spark, sf_dir, "documents"))
+    told = tokens.decode(ids).select("doc_id", F.md5("text").alias("text_md5"))
+    return told.join(ids.select("doc_id", (F.size("ids") == 0).alias("no_ids")), "doc_id")
+
+
 def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return packing.pack_documents(table(spark, sf_dir, "documents"))
@@ -112,6 +132,19 @@ def p9_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.usage(packing.pack_documents(table(spark, sf_dir, "documents")))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the containers hold of each document."""
+    ship(spark)
+    docs = table(spark, sf_dir, "documents")
+    packed, sizes = packing.pack_documents(docs), tokens.encode(docs, counts=True)
+    full = packed.groupBy("container_id").agg((F.sum("n_tokens") > 2048).alias("full"))
+    held = packed.join(full, "container_id").groupBy("doc_id").agg(F.sum("n_tokens").alias("held"), F.count(F.lit(1)).alias("pieces"), F.max("full").alias("over_full"))
+    met = sizes.filter("n_tokens > 0").join(held, "doc_id", "left")
+    return met.select(
+        "doc_id", F.coalesce(F.col("held") == F.col("n_tokens"), F.lit(False)).alias("whole"), "over_full", ((F.col("pieces") > 1) & (F.col("n_tokens") <= 2048)).alias("split_for_nothing")
+    )
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return subjects.found(*(table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_areas")))
@@ -126,7 +159,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found, "p1_batches": p1_batches, "p1_classes": p1_classes, "p2_found": p2_found, "p2_matches": p2_matches, "p2_rules": p2_rules,
         "p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_entities": p4_entities,
-        "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces,
-        "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p9_containers": p9_containers, "p9_usage": p9_usage,
+        "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_pieces": p6_pieces, "p6_checks": p6_checks,
+        "p7_found": p7_found, "p7_records": p7_records, "p8_ids": p8_ids, "p8_checks": p8_checks,
+        "p9_containers": p9_containers, "p9_usage": p9_usage, "p9_checks": p9_checks,
         "p10_found": p10_found, "p10_composition": p10_composition,
     }

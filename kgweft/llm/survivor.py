@@ -19,8 +19,12 @@ MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct",
 UNBELIEVABLE = 10_000_000
 FIRST_YEAR = 1990
 _MONTH = r"([A-Za-z]{3})[a-z]*\.?"
-#: Page furniture by its wording; further furniture is learned from the rows (:func:`furniture`).
-_FURNITURE = r"(?i)^(©.*|\(c\) .*|all rights reserved\.|share this (page|article)\.|cookies help us .*|we use cookies.*|subscribe to read .*|sign in to .*|download (citation|pdf)\.|keywords: see .*|related items: .*|read more\.?)$"
+#: Wrongly decoded, private or lost characters and markup; the end of a sentence; between two sentences.
+BROKEN = r"[\x{FFFD}\x{80}-\x{9F}\x{E000}-\x{F8FF}]|Ã|Â|â€|\?\p{L}|\p{L}\?[\p{L}\d]|(^|\s)\?\s|<[a-zA-Z/!]|&[a-z]+;|&#"
+ENDED = r"[.!?][\"'”’)\]]*$"
+NEXT = r"[\p{Lu}\p{N}©\"'“(\[]"
+#: A copyright line is page furniture wherever it stands; all other furniture is learned from the rows (:func:`furniture`).
+COPYRIGHT = r"^(©|\([cC]\) )"
 
 
 def exact_day(raw: Column) -> Column:
@@ -49,12 +53,11 @@ def _measured(copies: DataFrame) -> DataFrame:
     """Copies with ``whole`` (abstract with plain spacing), its sentences and the marks of damage."""
     whole = F.trim(F.regexp_replace(F.coalesce("abstract", F.lit("")), r"(?U)\s+", " "))
     half = "int(length(whole) / 2)"
-    broken = r"[�\u0080-\u009F-]|Ã|Â|â€|\?\p{L}|\p{L}\?[\p{L}\d]|(^|\s)\?\s|<[a-zA-Z/!]|&[a-z]+;|&#"
     return (
         copies.withColumn("whole", whole)
         .withColumn("doubled", (F.length("whole") > 20) & (F.trim(F.expr(f"substring(whole, 1, {half})")) == F.trim(F.expr(f"substring(whole, {half} + 1)"))))
-        .withColumn("broken", F.col("whole").rlike(broken) | ~F.col("whole").rlike(r"[.!?][\"'”’)\]]*$") | F.col("whole").rlike(r"(\.\.\.|…)$") | ~F.col("whole").rlike(r"\S+ \S+ \S+"))
-        .withColumn("sentences", F.split("whole", r"(?<=[.!?])\s+(?=[\p{Lu}\p{N}©\"'“(\[])"))
+        .withColumn("broken", F.col("whole").rlike(BROKEN) | ~F.col("whole").rlike(ENDED) | F.col("whole").rlike(r"(\.\.\.|…)$") | ~F.col("whole").rlike(r"\S+ \S+ \S+"))
+        .withColumn("sentences", F.split("whole", rf"(?<=[.!?])\s+(?={NEXT})"))
     )
 
 
@@ -97,10 +100,11 @@ def survivors(copies: DataFrame, sources: DataFrame, *, least: int = 2) -> DataF
     base = base.join(trust, "source", "left").withColumn("trust", F.coalesce("trust", F.lit(0)))
     measured = cut(_measured(base).withColumn("row", F.xxhash64("copy_id", "group_id", "whole", "source", "fetched_at")))
     known = furniture(measured).withColumn("known", F.lit(True))
-    spoken = measured.select("row", F.explode("sentences").alias("sentence"))
+    # a row repeated in full is measured once
+    spoken = measured.select("row", "sentences").dropDuplicates(["row"]).select("row", F.explode("sentences").alias("sentence"))
     core = (
         spoken.join(known, "sentence", "left")
-        .withColumn("added", F.coalesce("known", F.lit(False)) | F.col("sentence").rlike(_FURNITURE))
+        .withColumn("added", F.coalesce("known", F.lit(False)) | F.col("sentence").rlike(COPYRIGHT))
         .groupBy("row").agg(F.sum(F.when(~F.col("added"), F.length("sentence") + 1).otherwise(0)).alias("core"), F.max("added").alias("added"))
     )
     full = measured.join(core, "row", "left").withColumn("core", F.when(F.col("doubled"), F.floor(F.col("core") / 2)).otherwise(F.coalesce("core", F.lit(0))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
 from kgweft.llm.markup import Parser, render
@@ -13,6 +12,7 @@ from kgweft.llm.markup import Parser, render
 _VERSION = re.compile(
     r"\b(?:revised|revisited|working|preliminary|final|extended|accepted|short|draft|author)\s+(?:draft|paper|version|abstract|edition|preprint|manuscript)\b"
     r"|\b(?:preprint|draft version|edition revisee|abridged|abridgement|first draft|camera[- ]ready(?: version)?)\b"
+    r"|\A\W*(?:draft|manuscript|preprint)\W*[.:]"
 )
 _FOLLOW = {
     "look", "reply", "replies", "rejoinder", "response", "erratum", "errata", "corrigendum", "corrigenda", "correction", "replication", "replicated",
@@ -88,18 +88,25 @@ def alike(a: str, b: str) -> float:
 
     Where both sides keep a long word that the other lacks, the titles name different things: 0.5 at most.
     """
-    x, y = Counter(content(a)), Counter(content(b))
-    longest = max(sum(x.values()), sum(y.values()))
+    words, rest_y = content(a), list(content(b))
+    longest = max(len(words), len(rest_y))
     if not longest:
         return 1.0 if a == b else 0.0
-    common = sum((x & y).values())
-    rest_x, rest_y = list((x - y).elements()), list((y - x).elements())
-    for w in list(rest_x):
-        v = next((v for v in rest_y if len(w) > 3 and slip(w, v)), None)
-        if v is not None:
+    rest_x, common = [], 0
+    for w in words:
+        if w in rest_y:
+            rest_y.remove(w)
             common += 1
-            rest_x.remove(w)
-            rest_y.remove(v)
+        else:
+            rest_x.append(w)
+    for w in [w for w in rest_x if len(w) > 3]:
+        for v in rest_y:
+            # one slip leaves the first or the last letter of a long word as it was
+            if (w[0] == v[0] or w[-1] == v[-1]) and slip(w, v):
+                common += 1
+                rest_x.remove(w)
+                rest_y.remove(v)
+                break
     if not rest_x and not rest_y or slip(a.replace(" ", ""), b.replace(" ", "")):
         return 1.0
     keep = lambda text, other: "".join(w for w in text.split() if w not in other)

@@ -33,6 +33,8 @@ TOKENIZER_DIR = "/opt/tokenizers"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: No alternative of the pattern inspects more than this many characters from a word's start in order to choose.
 LOOK = 3
+#: Characters below which a part is encoded at once; most texts are longer and so are joined from parts.
+LEAF = 256
 
 
 class Bpe:
@@ -81,7 +83,7 @@ class Span:
 class Tree:
     """Encoding of one text by halving; ``leaf`` is the size below which a part is encoded at once."""
 
-    def __init__(self, model: Bpe, leaf: int = 4096, window: int = 32):
+    def __init__(self, model: Bpe, leaf: int = LEAF, window: int = 32):
         self.model, self.leaf, self.window = model, max(1, leaf), max(1, window)
 
     def encode(self, text: str) -> np.ndarray:
@@ -158,7 +160,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], keep: int, name: str, tokenizer_
 
 def encode(
     docs: DataFrame, key: str = "doc_id", text: str = "text", *, name: str = "byte_bpe_50k",
-    tokenizer_dir: str = TOKENIZER_DIR, leaf: int = 4096, counts: bool = False,
+    tokenizer_dir: str = TOKENIZER_DIR, leaf: int = LEAF, counts: bool = False,
 ) -> DataFrame:
     """``(key, ids array<int>)`` of every row, or with ``counts`` ``(key, n_tokens bigint)``.
 

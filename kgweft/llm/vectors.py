@@ -1,17 +1,20 @@
 """The k most similar vectors of every vector, by an inverted multi-index (problem 3).
 
 The two halves of the normalised vectors are quantised separately, with ``K`` centroids each trained on a
-bounded sample. A vector's cell is its pair of nearest centroids; every vector is indexed. A query visits
-centroid pairs in the order of summed distance, drawn from a heap, until the visited cells hold enough
-entries; the entries are then ranked by their exact cosine. Cells are cut into blocks of bounded size, so
-a cell with a third of all vectors is many blocks on many tasks. Equal vectors are searched once.
+bounded sample; ``K`` grows with the square root of the rows, so the entries of a cell stay the same. A vector's
+cell is its pair of nearest centroids; every vector is indexed. A query visits centroid pairs in the order of
+summed distance, drawn from a heap, until the visited cells hold enough entries; the entries are then ranked by
+their exact cosine. A cell with more than a block of entries has an index of its own, trained on the sample's
+vectors in it, whose cells a query visits in the same way: where a third of all vectors lie in one cell, a
+query still meets about as many entries as elsewhere. What stays dense even then (vectors that hardly differ) is
+cut into blocks on many tasks. Equal vectors are searched once.
 """
 
 from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +57,16 @@ def _lloyd(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray
 
 @dataclass
 class MultiIndex:
-    """Two codebooks; their size is fixed by the parameters of :func:`train`, not by the data."""
+    """Two codebooks; ``children`` are indexes of single cells, whose cells are numbered from ``offset[cell]`` on."""
 
     left: np.ndarray
     right: np.ndarray
+    children: dict[int, MultiIndex] = field(default_factory=dict)
+    offset: dict[int, int] = field(default_factory=dict)
+
+    @property
+    def size(self) -> int:
+        return len(self.left) * len(self.right) + sum(len(c.left) * len(c.right) for c in self.children.values())
 
     def distances(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = x.shape[1] // 2
@@ -66,18 +75,36 @@ class MultiIndex:
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         a, b = self.distances(x)
-        return a.argmin(1) * len(self.right) + b.argmin(1)
+        found = a.argmin(1) * len(self.right) + b.argmin(1)
+        for cell, child in self.children.items():
+            rows = np.flatnonzero(found == cell)
+            if len(rows):
+                found[rows] = self.offset[cell] + child.cells(x[rows])
+        return found
+
+    def add(self, cell: int, child: MultiIndex) -> None:
+        self.offset[cell] = self.size
+        self.children[cell] = child
+
+    def visit(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, entries: int, least: int, x: np.ndarray | None = None, shift: int = 0) -> list[int]:
+        """Cells in the order of ``a[i] + b[j]`` until ``least`` cells that are not empty and ``entries`` entries are met.
 
-    def visit(self, a: np.ndarray, b: np.ndarray, counts: np.ndarray, entries: int, least: int) -> list[int]:
-        """Cells in the order of ``a[i] + b[j]`` until ``least`` cells that are not empty and ``entries`` entries are met."""
+        ``x`` is the query, needed where cells have indexes of their own; ``shift`` is added to cell numbers.
+        """
         i_order, j_order = a.argsort(kind="stable"), b.argsort(kind="stable")
         heap, met, found, width = [(float(a[i_order[0]] + b[j_order[0]]), 0, 0)], 0, [], len(self.right)
         while heap and (met < entries or len(found) < least):
             _, i, j = heapq.heappop(heap)
             cell = int(i_order[i]) * width + int(j_order[j])
-            if counts[cell]:
-                found.append(cell)
-                met += counts[cell]
+            child = self.children.get(cell)
+            if child is not None:
+                near, far = child.distances(x[None])
+                inner = child.visit(near[0], far[0], counts, max(1, entries - met), 1, shift=self.offset[cell])
+                found += inner
+                met += int(counts[inner].sum())
+            elif counts[shift + cell]:
+                found.append(shift + cell)
+                met += counts[shift + cell]
             # each pair enters the heap once: along a row, and down the first column
             if j + 1 < len(j_order):
                 heapq.heappush(heap, (float(a[i_order[i]] + b[j_order[j + 1]]), i, j + 1))
@@ -86,15 +113,29 @@ class MultiIndex:
         return found
 
 
-def train(vectors: DataFrame, n: int, sample: int = SAMPLE, entries_per_cell: int = 20, most: int = 256) -> MultiIndex:
-    """Codebooks from at most ``sample`` vectors; ``K`` grows with the square root of the rows, to ``most``."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()
-    x = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float32).reshape(len(rows), -1)
-    k = min(len(rows), most, max(1, round((n / entries_per_cell) ** 0.5)))
+def _codebooks(x: np.ndarray, n: int, entries_per_cell: int, per_centroid: int) -> MultiIndex:
+    k = min(max(1, len(x) // per_centroid), max(1, round((n / entries_per_cell) ** 0.5)))
     h = x.shape[1] // 2
     return MultiIndex(_lloyd(x[:, :h], k), _lloyd(x[:, h:], k))
 
 
+def train(vectors: DataFrame, n: int, sample: int = SAMPLE, entries_per_cell: int = 20, per_centroid: int = 16) -> tuple[MultiIndex, np.ndarray]:
+    """Codebooks from at most ``sample`` vectors, and these; ``K`` grows with the square root of the rows, to a centroid for each ``per_centroid`` vectors of the sample."""
+    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(sample).select("vec").collect()
+    x = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), np.float32).reshape(len(rows), -1)
+    return _codebooks(x, n, entries_per_cell, per_centroid if len(x) > 64 else 1), x
+
+
+def divide(index: MultiIndex, x: np.ndarray, counts: np.ndarray, block: int, entries_per_cell: int = 20, per_centroid: int = 16) -> bool:
+    """Give an index of its own to each cell with more than ``block`` entries, trained on the sample's vectors in it. Says whether any got one."""
+    own = index.cells(x)
+    for cell in np.flatnonzero(counts > block).tolist():
+        mine = x[own == cell]
+        if len(mine) >= 4 * per_centroid:
+            index.add(cell, _codebooks(mine, int(counts[cell]), entries_per_cell, per_centroid))
+    return bool(index.children)
+
+
 def _floats(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
@@ -108,17 +149,22 @@ def search(vectors: DataFrame, k: int, *, entries: int = 1000, least_cells: int
     n = vectors.count()
     if n == 0:
         return vectors.sparkSession.createDataFrame([], f"id {kind}, found array<struct<away: double, id: {kind}>>")
-    index = train(vectors, n)
+    index, learned = train(vectors, n)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index.cells(_floats(batch.column(1))), pa.int64())], names=["id", "vec", "cell"])
 
-    indexed = cut(vectors.mapInArrow(assign, f"id {kind}, vec binary, cell long"))
-    counts = np.zeros(len(index.left) * len(index.right), np.int64)  # at most `most` squared cells
-    for row in indexed.groupBy("cell").count().collect():
-        counts[row["cell"]] = row["count"]
+    def placed() -> tuple[DataFrame, np.ndarray]:
+        rows, found = cut(vectors.mapInArrow(assign, f"id {kind}, vec binary, cell long")), np.zeros(index.size, np.int64)
+        for row in rows.groupBy("cell").count().collect():  # a row for each cell; their number is bounded by the sample's size
+            found[row["cell"]] = row["count"]
+        return rows, found
+
+    indexed, counts = placed()
+    if divide(index, learned, counts, block):
+        indexed, counts = placed()
     parts = np.maximum(1, -(-counts // block))
     wide = int(parts.max())
 
@@ -126,10 +172,11 @@ def search(vectors: DataFrame, k: int, *, entries: int = 1000, least_cells: int
         for batch in batches:
             if not len(batch):
                 continue
-            a, b = index.distances(_floats(batch.column(1)))
+            x = _floats(batch.column(1))
+            a, b = index.distances(x)
             rows, blocks = [], []
             for r in range(len(batch)):
-                for cell in index.visit(a[r], b[r], counts, entries, least_cells):
+                for cell in index.visit(a[r], b[r], counts, entries, least_cells, x[r]):
                     for part in range(parts[cell]):
                         rows.append(r)
                         blocks.append(cell * wide + part)

@@ -161,6 +161,23 @@ def test_neighbours_are_the_nearest(spark):
     assert vectors.neighbours(df.limit(0)).count() == 0 and vectors.neighbours(df.filter("entity_id = 0")).count() == 0
 
 
+def test_a_dense_cell_has_an_index_of_its_own(spark):
+    rng = np.random.default_rng(9)
+    near, ways = rng.normal(size=96), rng.normal(size=(4, 96))
+    rows = [(n, (near + 0.1 * rng.normal(size=4) @ ways).tolist()) for n in range(1500)] + [(5000 + n, rng.normal(size=96).tolist()) for n in range(300)]
+    df = spark.createDataFrame(rows, "entity_id bigint, embedding array<double>")
+    x = np.array([v for _, v in rows], np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = vectors._codebooks(x, len(x), 20, 16)
+    counts = np.bincount(index.cells(x), minlength=index.size)
+    assert vectors.divide(index, x, counts, int(counts.max()) // 2) and np.bincount(index.cells(x), minlength=index.size).max() < counts.max()
+    a, b = index.distances(x[:1])
+    fine = np.bincount(index.cells(x), minlength=index.size)
+    assert fine[index.visit(a[0], b[0], fine, 200, 3, x[0])].sum() < 700  # not the whole cell
+    found = vectors.neighbours(df, block=60, entries=600)
+    assert vectors.recall(found, df) >= 0.9
+
+
 def test_cells_come_in_order_of_distance():
     index = vectors.MultiIndex(np.arange(4.0)[:, None], np.arange(3.0)[:, None])
     a, b = np.array([0.3, 0.1, 0.9, 2.0]), np.array([0.5, 0.0, 0.2])
@@ -188,6 +205,20 @@ def test_spellings(spark):
     assert names.link(df.limit(0)).count() == 0
 
 
+def test_short_forms_follow_the_only_full_name(spark):
+    rows = ["Robert Trelm", "Bob Trelm", "Samuel Okna", "Samantha Okna", "Sam Okna", "Max Ulvet", "Ulvet, Max", "M. Ulvet", "Roberta Dolm", "R. Dolm", "Bob Dolm", "Robert Zeikessan", "Bob Zeikesan"]
+    df = spark.createDataFrame([(n, "Author") for n in rows], "subject string, subject_type string").withColumn("obj", F.lit(None).cast("string")).withColumn("obj_type", F.lit(None).cast("string"))
+    got = {(r["name_a"], r["name_b"]) for r in names.pairs(names.link(df)).collect()}
+    assert got == {("Bob Trelm", "Robert Trelm"), ("Max Ulvet", "Ulvet, Max"), ("M. Ulvet", "Max Ulvet"), ("M. Ulvet", "Ulvet, Max"), ("R. Dolm", "Roberta Dolm"), ("Bob Zeikesan", "Robert Zeikessan")}
+
+
+def test_a_slip_in_many_styles_follows_a_name_in_more(spark):
+    forms = lambda g, f: [f"{g} {f}", f"{f}, {g}", f"Dr. {g} {f}", f"{g.upper()} {f}", f"{f}, {g} X.", f"Prof. {g} {f}", f"{f.upper()}, {g}", f"{g} Q. {f}", f"{g}  {f}", f"{f} , {g}"]
+    rows = forms("Isabella", "Zeikessan") + forms("Isabella", "Zeikesasn")[:3]
+    df = spark.createDataFrame([(n, "Author") for n in rows], "subject string, subject_type string").withColumn("obj", F.lit(None).cast("string")).withColumn("obj_type", F.lit(None).cast("string"))
+    assert len({r["entity"] for r in names.link(df).collect()}) == 1
+
+
 @given(st.lists(st.text("abc", min_size=0, max_size=9), min_size=2, max_size=8, unique=True))
 @settings(max_examples=60, deadline=None)
 def test_segments_lose_no_pair(words):
@@ -277,15 +308,28 @@ def test_survivors(spark):
         (3, 1, whole[:45], "a", "Mon, 05 Mar 2018 00:00:00 GMT", 7, NOW - dt.timedelta(days=2)), (4, 1, whole.replace("c", "�"), None, "1989-01-01", 99999999, NOW), (5, 1, None, "a", "2030-01-01", None, NOW),
         (6, 1, f"{whole} {whole}", "a", "May 2018", -1, NOW), (7, 2, whole, "a", "2018-01-01", 3, NOW), (8, 3, "N/A", "zz", None, None, None), (9, 3, "", "zz", "", None, None), (10, None, whole, "a", "2018", 4, NOW),
     ]
+    for g in range(10, 18):  # the notice stands in one copy of many groups, and so is known for one
+        rows += [(10 * g + n, g, f"Claim number {g} stands here." + (" Subscribe to read the full article." if n == 2 else ""), "a", None, None, NOW) for n in range(3)]
+    rows += [rows[1], rows[3]]  # repeated rows
     df = spark.createDataFrame([(*r, 0) for r in rows], "copy_id bigint, group_id bigint, abstract string, source string, published_date string, citations bigint, fetched_at timestamp_ntz, trust int")
     sources = spark.createDataFrame([("a", 5), ("b", 7), ("b", 1), (None, 9)], "source string, trust int")
     got = {(r["group_id"], r["field"], r["copy_id"]) for r in survivor.survivors(df, sources).collect()}
+    assert {(g, "abstract", 10 * g) for g in range(10, 18)} == {x for x in got if x[0] >= 10}
+    got = {x for x in got if x[0] < 10}
     assert got == {(1, "abstract", 1), (1, "citations", 2), (1, "published_date", 2)}
     built = survivor.records(df, sources).filter("group_id = 1").first()
     assert built["citations"] == 5 and str(built["published_date"]) == "2018-03-04" and built["abstract"] == whole
     assert survivor.survivors(df.limit(0), sources).count() == 0
 
 
+def test_a_repeated_copy_is_measured_once(spark):
+    whole, cut_short = "First claim is made here. Second claim follows it.", "First claim is made here."
+    rows = [(1, 1, whole, "a", None, 1, NOW), (2, 1, cut_short, "a", None, 1, NOW), (2, 1, cut_short, "a", None, 1, NOW), (2, 1, cut_short, "a", None, 1, NOW)]
+    df = spark.createDataFrame(rows, "copy_id bigint, group_id bigint, abstract string, source string, published_date string, citations bigint, fetched_at timestamp_ntz")
+    got = survivor.survivors(df, spark.createDataFrame([("a", 5)], "source string, trust int")).filter("field = 'abstract'").collect()
+    assert [r["copy_id"] for r in got] == [1]
+
+
 @pytest.mark.parametrize(("raw", "day"), [("2010-11-16T08:00:00+00:00", "2010-11-16"), ("2011/03/09", "2011-03-09"), ("3 Aug. 2017", "2017-08-03"), ("December 8, 2008", "2008-12-08"), ("Sat, 14 Jan 2017 00:00:00 GMT", "2017-01-14"), ("0000-00-00", None), ("2010-13-05", None), ("2008-02-30", None), ("Spring 2010", None), ("2010-05", None), ("", None), (None, None)])
 def test_days(spark, raw, day):
     got = spark.createDataFrame([(raw,)], "d string").select(survivor.exact_day(F.col("d")).cast("string")).first()[0]
