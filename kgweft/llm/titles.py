@@ -51,7 +51,7 @@ def told(title: str | None) -> tuple[str, str, bool]:
     front = not words or words[0] in _FRONT and len(words) <= 6
     core, marks = [], []
     for n, w in enumerate(words):
-        if w.isdigit() and not (n + 1 < len(words) and words[n + 1].startswith("year")):
+        if w.isdigit() and not any(v.startswith("year") for v in words[n + 1 : n + 3]):
             marks.append(w)
         elif w in _ROMAN and n and words[n - 1] in ("part", "volume", "no"):
             marks.append(w)
