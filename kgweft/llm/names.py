@@ -162,7 +162,7 @@ def read(name: str | None, body: bool = False) -> tuple[str, str, str, str] | No
     if len(first) == 1:
         return (kind, " ".join(family), first, "initial")
     dotted = re.search(rf"\b{re.escape(first)}\.", text) is not None
-    if dotted and first not in _SHORT:
+    if dotted:
         return (kind, " ".join(family), first, "short")
     return (kind, " ".join(family), first, order)
 
@@ -306,9 +306,9 @@ def link(mentions: DataFrame, types: tuple[str, ...] = ("Author", "Organisation"
     # a short form with no full name to follow is a full name
     tags = F.array_union(F.transform(F.sequence(F.lit(1), F.greatest(F.length("given"), F.lit(1))), lambda i: F.concat(F.lit("p"), F.substring(F.col("given"), F.lit(1), i))), F.transform(_shorts(F.col("given")), lambda x: F.concat(F.lit("n"), x)))
     whole_tags = lambda of: of.filter(person & (F.col("form") == "full")).select("kind", "main", F.col("id").alias("b_id"), F.explode(tags).alias("tag"))
-    part_tag = F.concat(F.when(F.col("form") == "nick", "n").otherwise("p"), F.col("given"))
-    part_tags = lambda of: of.filter(person & (F.col("form") != "full")).select("kind", "main", F.col("id").alias("a_id"), part_tag.alias("tag"))
-    fits = F.when(F.col("a_form") == "nick", F.array_contains(_shorts(F.col("b_given")), F.col("a_given"))).otherwise(F.col("b_given").startswith(F.col("a_given")))
+    by = F.when(F.col("form") == "nick", F.array(F.lit("n"))).when(F.col("form") == "initial", F.array(F.lit("p"))).otherwise(F.array(F.lit("n"), F.lit("p")))
+    part_tags = lambda of: of.filter(person & (F.col("form") != "full")).select("kind", "main", F.col("id").alias("a_id"), "given", F.explode(by).alias("t")).select("kind", "main", "a_id", F.concat("t", "given").alias("tag"))
+    fits = F.array_contains(_shorts(F.col("b_given")), F.col("a_given")) & (F.col("a_form") != "initial") | F.col("b_given").startswith(F.col("a_given")) & (F.col("a_form") != "nick")
     typed = lambda of: ways(slips, of).filter(_typo("a_main", "b_main") & (F.col("a_main") != F.col("b_main")))
     led = part_tags(keys).join(whole_tags(keys), ["kind", "main", "tag"]).select("a_id").unionByName(typed(keys.filter(person)).filter((F.col("b_form") == "full") & (F.col("a_form") == "nick") & fits).select("a_id")).distinct()
     keys = cut(keys.join(led.select(F.col("a_id").alias("id"), F.lit(True).alias("led")), "id", "left").withColumn("form", F.when((F.col("form") == "nick") & F.col("led").isNull(), "full").otherwise(F.col("form"))).drop("led"))
