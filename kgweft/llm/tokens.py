@@ -4,14 +4,12 @@ A text is cut into leaves, each leaf is encoded by itself, and neighbours are jo
 tree. A join re-encodes only a window around the seam. It is an associative operation with the empty
 text as its unit (a monoid), so any bracketing gives the ids of the whole text:
 
-* A piece of text that starts where the pre-tokenizer started a word is cut into words the same way,
-  whatever stands before it: the pattern is matched from left to right and never looks back.
-* A word depends on at most ``LOOK`` characters after its start beyond those it holds, so every word
-  that starts ``LOOK`` or more before the seam and ends before it is final. The window begins at the
-  last such start.
-* The window grows to the right, doubling, until one of its final words ends where the right
-  neighbour also starts a word. From there on both agree, so the neighbour's ids stand.
-* The merges never cross words, hence ids outside the window cannot change.
+* No word of the pre-tokenizer holds a letter or digit with something else behind it. So where a letter or
+  digit is followed by anything else, one word ends and the next begins, whatever stands around.
+* Words are matched from left to right, look at most one character ahead, and merges never cross them. So
+  the ids before such a point and those after it are the ids of the two parts.
+* The window grows to the left and to the right of the seam, doubling, until it ends at such points, which both
+  neighbours see within themselves. Their ids outside the window stand; those of the window are made anew.
 """
 
 from __future__ import annotations
@@ -31,8 +29,8 @@ from pyspark.sql import functions as F
 TOKENIZER_DIR = "/opt/tokenizers"
 # The published pre-tokenization pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: No alternative of the pattern inspects more than this many characters from a word's start in order to choose.
-LOOK = 3
+#: Where a word ends and another begins in any context.
+STABLE = r"(?<=[\p{L}\p{N}])(?=[^\p{L}\p{N}])"
 #: Characters below which a part is encoded at once; most texts are longer and so are joined from parts.
 LEAF = 256
 
@@ -46,7 +44,7 @@ class Bpe:
         with open(rank_file, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self._own = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._word = regex.compile(PATTERN)
+        self._stable = regex.compile(STABLE)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
@@ -55,9 +53,9 @@ class Bpe:
     def ids(self, text: str) -> np.ndarray:
         return np.asarray(self._own.encode_ordinary(text), dtype=np.int32)
 
-    def starts(self, text: str) -> np.ndarray:
-        """Character offsets at which words start."""
-        return np.fromiter((m.start() for m in self._word.finditer(text)), dtype=np.int64)
+    def stable(self, text: str) -> list[int]:
+        """Offsets at which the text can be cut without a change of its ids."""
+        return [m.start() for m in self._stable.finditer(text)]
 
     def decode(self, ids) -> bytes:
         """Bytes of ids; ``decode(a) + decode(b) == decode(a + b)``, so a tree of parts may be joined."""
@@ -72,75 +70,72 @@ def bpe(name: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> Bpe:
 
 @dataclass
 class Span:
-    """``text[begin:end]`` encoded by itself, with the absolute offsets of its words."""
+    """``text[begin:end]`` encoded by itself."""
 
     begin: int
     end: int
     ids: np.ndarray
-    starts: np.ndarray
 
 
 class Tree:
     """Encoding of one text by halving; ``leaf`` is the size below which a part is encoded at once."""
 
-    def __init__(self, model: Bpe, leaf: int = LEAF, window: int = 32):
+    def __init__(self, model: Bpe, leaf: int = LEAF, window: int = 16):
         self.model, self.leaf, self.window = model, max(1, leaf), max(1, window)
 
     def encode(self, text: str) -> np.ndarray:
-        if len(text) <= self.leaf:
-            return self.model.ids(text) if text else np.empty(0, np.int32)
-        parts = self.leaves(text, 0, len(text))
+        if not text:
+            return np.empty(0, np.int32)
+        parts = self.leaves(text)
         while len(parts) > 1:
             paired = [self.join(text, a, b) for a, b in zip(parts[::2], parts[1::2], strict=False)]
             parts = paired + parts[len(paired) * 2 :]
         return parts[0].ids
 
-    def leaves(self, text: str, begin: int, end: int) -> list[Span]:
-        todo, done = [(begin, end)], []
+    def leaves(self, text: str) -> list[Span]:
+        todo, done = [(0, len(text))], []
         while todo:
             a, b = todo.pop()
             if b - a > self.leaf:
                 middle = (a + b) // 2
                 todo += [(middle, b), (a, middle)]
             else:
-                part = text[a:b]
-                done.append(Span(a, b, self.model.ids(part), self.model.starts(part) + a))
+                done.append(Span(a, b, self.model.ids(text[a:b])))
         return done
 
-    def _at(self, text: str, span: Span, offset: int) -> int:
-        """Number of the token of ``span`` that begins at a character offset where a word starts."""
-        if offset >= span.end:
-            return len(span.ids)
-        target = len(text[span.begin : offset].encode())
-        return int(np.searchsorted(np.cumsum(self.model.widths[span.ids]), target, side="right")) if target else 0
+    def _before(self, text: str, begin: int, seam: int) -> int:
+        """The last stable point of the left side, or its beginning."""
+        width = self.window
+        while True:
+            low = max(begin, seam - width)
+            if found := self.model.stable(text[low:seam]):
+                return low + found[-1]
+            if low == begin:
+                return begin
+            width *= 2
 
-    def join(self, text: str, left: Span, right: Span) -> Span:
-        if not len(left.starts) or not len(right.starts):
-            return right if not len(left.starts) else left
-        seam, begin, end = left.end, left.begin, right.end
-        safe = int(np.searchsorted(left.starts, seam - LOOK, side="right")) - 1
-        a = int(left.starts[safe]) if safe >= 0 else begin
+    def _after(self, text: str, seam: int, end: int) -> int:
+        """The first stable point of the right side, or its end."""
         width = self.window
         while True:
-            stop = min(seam + width, end)
-            inner = self.model.starts(text[a:stop]) + a
-            if stop == end:
-                shared = np.intersect1d(inner[inner > seam], right.starts, assume_unique=True)
-                # the window reaches the end: all its words are final
-                meet = int(shared[0]) if len(shared) else end
-                break
-            final = inner[(inner > seam) & (inner <= stop - LOOK)]
-            shared = np.intersect1d(final, right.starts, assume_unique=True)
-            if len(shared):
-                meet = int(shared[0])
-                break
+            high = min(end, seam + width)
+            if found := self.model.stable(text[seam:high]):
+                return seam + found[0]
+            if high == end:
+                return end
             width *= 2
-        # word by word: cut off at ``meet``, the window's last white space could be cut into words in another way
-        cuts = [*inner[inner < meet], meet]
-        words = [self.model.ids(text[p:q]) for p, q in zip(cuts, cuts[1:], strict=False)]
-        ids = np.concatenate((left.ids[: self._at(text, left, a)], *words, right.ids[self._at(text, right, meet) :]))
-        starts = np.concatenate((left.starts[left.starts < a], inner[inner < meet], right.starts[right.starts >= meet]))
-        return Span(begin, end, ids, starts)
+
+    def _tokens(self, ids: np.ndarray, width: int) -> int:
+        """How many of the first ids make up ``width`` bytes."""
+        take = min(len(ids), width)
+        return int(np.searchsorted(np.cumsum(self.model.widths[ids[:take]]), width)) + 1 if width else 0
+
+    def join(self, text: str, left: Span, right: Span) -> Span:
+        seam = left.end
+        a, b = self._before(text, left.begin, seam), self._after(text, seam, right.end)
+        drop = self._tokens(left.ids[::-1], len(text[a:seam].encode()))
+        skip = self._tokens(right.ids, len(text[seam:b].encode()))
+        return Span(left.begin, right.end, np.concatenate((left.ids[: len(left.ids) - drop], self.model.ids(text[a:b]), right.ids[skip:])))
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], keep: int, name: str, tokenizer_dir: str, leaf: int, counts: bool) -> Iterator[pa.RecordBatch]:
