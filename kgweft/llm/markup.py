@@ -13,7 +13,7 @@ import hashlib
 import html as _html
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -35,7 +35,7 @@ _GRAMMAR = {
     "html_escaped": r"&lt;/?[A-Za-z][A-Za-z0-9:]*(?:\s[^&<>]*)?/?&gt;",
     "html_entity": r"&(?:[A-Za-z][A-Za-z0-9]{1,9}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});",
     "latex_display": r"\$\$(?P<display_body>.+?)\$\$|\\\[(?P<bracket_body>.+?)\\\]|\\begin\{(?P<mathenv>equation|align|math|displaymath|eqnarray)\*?\}(?P<env_body>.*?)\\end\{(?P=mathenv)\*?\}",
-    "latex_math": r"(?<![\\$\w])\$(?=[^\s$])(?!\d[\d.,]*(?:\s+[A-Za-z]{2,}|[,.;:]\s))(?P<inline_body>[^$\n]{1,300}?)(?<=[^\s\\])\$(?![\w$])|\\\((?P<paren_body>.+?)\\\)",
+    "latex_math": r"(?<![\\$\w])\$(?=[^\s$])(?!\d[\d.,]*(?:\s+[A-Za-z]{2,}|[,.;:]\s))(?P<inline_body>[^$\n]+?)(?<=[^\s\\])\$(?![\w$])|\\\((?P<paren_body>.+?)\\\)",
     "latex_env": r"\\(?:begin|end)\{[A-Za-z]+\*?\}(?:\[[^\]\n]*\])?",
     "latex_section": r"(?<![\w\\:])\\(?:sub)*(?:section|chapter|paragraph)\*?\{(?P<section_body>[^{}]*)\}",
     "latex_item": r"(?<![\w\\:])\\item\b[ \t]*(?:\[[^\]\n]*\])?",
@@ -45,25 +45,25 @@ _GRAMMAR = {
     "latex_command": r"(?<![\w\\:])\\(?P<commandname>[A-Za-z]+)\*?(?:\[[^\]\n]*\])?\{",
     "latex_word": r"(?<![\w\\:])\\(?:noindent|par|ldots|dots|LaTeX|TeX|newline|quad|qquad|maketitle|centering|newpage|smallskip|medskip|bigskip|textless|textgreater|S|P)\b(?:\{\})?",
     "latex_escape": r"(?<![\\:\w])\\[%&$#_{}](?!\w*\\)|(?<=\d)\\[%&$#_]",
-    "latex_quote": r"(?<!`)``(?![`\s])(?P<quote_body>[^`]{1,400}?)(?<!')''(?!')",
+    "latex_quote": r"(?<!`)``(?![`\s])(?P<quote_body>[^`]+?)(?<!')''(?!')",
     "wiki_heading": r"(?:\A|(?<=\n))(?P<eq>={2,6})[ \t]*(?P<wikihead>[^=\n]+?)[ \t]*(?P=eq)[ \t]*(?=\n|\Z)",
     "wiki_table": r"(?:\A|(?<=\n))\{\|.*?\n\|\}",
     "wiki_file": r"\[\[(?:File|Image|Category):[^\[\]\n]*\]\]",
     "wiki_link": r"\[\[(?P<wikilink>[^\[\]\n]+)\]\]",
     "wiki_template": r"\{\{[^{}]+\}\}",
     "wiki_url": r"\[(?:https?:)?//[^\s\]]+\s+(?P<wikiurl>[^\]\n]+)\]",
-    "wiki_strong": r"(?<!')'{3}(?=[^\s'])(?P<wikistrong>.{1,400}?)(?<=[^\s'])'{3}(?!')",
-    "wiki_em": r"(?<![\w'])''(?=[^\s'])(?P<wikiem>[^\n]{1,400}?)(?<=[^\s'])''(?!')",
+    "wiki_strong": r"(?<!')'{3}(?=[^\s'])(?P<wikistrong>(?:(?!\n\n).)+?)(?<=[^\s'])'{3}(?!')",
+    "wiki_em": r"(?<![\w'])''(?=[^\s'])(?P<wikiem>[^\n]+?)(?<=[^\s'])''(?!')",
     "wiki_magic": r"__[A-Z]{3,}__",
     "markdown_heading": r"(?:\A|(?<=\n))[ ]{0,3}(?P<hashes>#{1,6})[ \t]+(?P<mdhead>\S[^\n]*?)[ \t]*#*(?=\n|\Z)",
-    "markdown_setext": r"(?:\A|(?<=\n))(?P<setext>[^\s>|*+#-][^\n]{0,120})\n(?:={3,}|-{3,})[ \t]*(?=\n|\Z)",
+    "markdown_setext": r"(?:\A|(?<=\n))(?P<setext>[^\s>|*+#-][^\n]*)\n(?:={3,}|-{3,})[ \t]*(?=\n|\Z)",
     "markdown_table": r"(?:\A|(?<=\n))[ \t]*\|?[^\n|]+\|[^\n]*\n[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)*\|?[ \t]*(?:\n[ \t]*\|[^\n]*)*",
     "markdown_quote": r"(?:\A|(?<=\n\n))>[ \t][^\n]*(?:\n>[^\n]*)*",
     "markdown_image": r"!\[(?P<mdalt>[^\]\n]*)\]\([^)\s]+(?:\s+\"[^\"]*\")?\)",
     "markdown_link": r"\[(?P<mdlink>[^\]\n]+)\]\((?:https?:|mailto:|/|#|\w[\w.-]*/)[^)\s]*(?:\s+\"[^\"]*\")?\)",
-    "markdown_strong": r"(?<!\*)\*\*(?=[^\s*])(?P<mdstrong>.{1,400}?)(?<=[^\s*])\*\*(?!\*)|(?<![\w_])__(?=[^\s_])(?P<mdstrong2>[^\n]{1,400}?)(?<=[^\s_])__(?![\w_])",
-    "markdown_code": r"(?<!`)`(?=[^\s`])(?P<mdcode>[^`\n]{1,400}?)`(?!`)",
-    "markdown_em": r"(?<![\w*])\*(?=[^\s*])(?P<mdem>[^*\n]{1,300}?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])(?P<mdem2>[^_\n]{1,300}?)(?<=[^\s_])_(?![\w_])",
+    "markdown_strong": r"(?<!\*)\*\*(?=[^\s*])(?P<mdstrong>(?:(?!\n\n).)+?)(?<=[^\s*])\*\*(?!\*)|(?<![\w_])__(?=[^\s_])(?P<mdstrong2>[^\n]+?)(?<=[^\s_])__(?![\w_])",
+    "markdown_code": r"(?<!`)`(?=[^\s`])(?P<mdcode>[^`\n]+?)`(?!`)",
+    "markdown_em": r"(?<![\w*])\*(?=[^\s*])(?P<mdem>[^*\n]+?)(?<=[^\s*])\*(?![\w*])|(?<![\w_])_(?=[^\s_])(?P<mdem2>[^_\n]+?)(?<=[^\s_])_(?![\w_])",
     "markdown_strike": r"~~(?=\S)(?P<mdstrike>[^~\n]+?)(?<=\S)~~",
     "markdown_break": r"(?:\A|(?<=\n))(?:\*[ ]?){3,}(?=\n|\Z)",
 }
@@ -197,10 +197,11 @@ class Parser:
         raw = m.group()
         tag = re.match(r"</?([\w:-]+)", raw)[1].lower().split(":")[-1]
         if raw.startswith("</"):
-            self.kinds.add(HTML)
             open_tags = [i for i, n in enumerate(self._stack) if n.tag == tag and i]
             if open_tags:
                 del self._stack[open_tags[-1] :]
+            else:
+                self._add(Node("end", HTML))
             return
         if tag == "li" and self._stack[-1].tag == "li":
             self._stack.pop()
@@ -341,6 +342,16 @@ def _union(a: dict, b: dict, page: bool = False) -> dict:
     return {"t": a["t"], "n": max(a["n"], b["n"]) if page else a["n"] + b["n"], "x": texts, "c": _aligned(a["c"], b["c"])}
 
 
+def shape(wrapper: dict) -> str:
+    """The tags of a wrapper as text; equal for trees whose alignment is node by node."""
+    return wrapper["t"] if not wrapper["c"] else f"{wrapper['t']}({','.join(map(shape, wrapper['c']))})"
+
+
+def _stacked(a: dict, b: dict) -> dict:
+    """The union of two wrappers of one shape, without a search."""
+    return _union(a | {"c": []}, b | {"c": []}) | {"c": [_stacked(x, y) for x, y in zip(a["c"], b["c"], strict=True)]}
+
+
 def _match(a: dict, b: dict) -> int:
     """Size of the largest matching of two ordered trees whose roots have one tag (simple tree matching)."""
     if a["t"] != b["t"]:
@@ -389,6 +400,26 @@ def template(wrapper: dict, pages: int = 20, share: float = 0.9) -> list[str]:
     return sorted(found)
 
 
+def _is_template(node: Node, path: str, constant: frozenset[str]) -> bool:
+    text = node.text.strip()
+    return bool(text and constant) and f"{path}\t{_digest(text)}" in constant
+
+
+def kinds(root: Node, constant: frozenset[str] = frozenset()) -> tuple[set[str], set[str]]:
+    """Markup of a tree aligned with its host's wrapper: that of its content, and that of its template nodes."""
+    content: set[str] = set()
+    fixed: set[str] = set()
+    todo = [(root, "", False)]
+    while todo:
+        node, path, inside = todo.pop()
+        path = f"{path}/{node.tag}"
+        inside = inside or _is_template(node, path, constant)
+        if node.kind:
+            (fixed if inside else content).add(node.kind)
+        todo += [(child, path, inside) for child in node.children]
+    return content, fixed
+
+
 def render(root: Node, constant: frozenset[str] = frozenset()) -> str:
     """Clean text of a tree without its template nodes: headings as ``#`` lines, items as ``-`` lines, code in fences, formulas between ``$``."""
     out: list[str] = []
@@ -400,7 +431,7 @@ def render(root: Node, constant: frozenset[str] = frozenset()) -> str:
     def walk(node: Node, path: str) -> None:
         path = f"{path}/{node.tag}"
         text = node.text
-        if text.strip() and f"{path}\t{_digest(text.strip())}" in constant:
+        if _is_template(node, path, constant):
             return
         tag = node.tag
         if tag in ("text", "label"):
@@ -457,24 +488,26 @@ def _bodies(docs: DataFrame, key: str, fields: tuple[str, ...], url: str) -> Dat
     return reduce(DataFrame.unionByName, each).filter(F.length("body") > 0)
 
 
-def induce(bodies: DataFrame, hosts_at_once: int = 10_000) -> DataFrame:
+def induce(bodies: DataFrame, shapes_at_once: int = 10_000) -> DataFrame:
     """``(host, field, constant array<string>)``: the template nodes of each host's wrapper, folded from all its pages."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[tuple[str, str], dict] = {}
+        held: dict[tuple[str, str], dict[str, dict]] = {}  # by host and field, then by shape
+        count = 0
 
         def told() -> pd.DataFrame:
-            return pd.DataFrame([(h, f, json.dumps(w)) for (h, f), w in held.items()], columns=["host", "field", "wrapper"])
+            return pd.DataFrame([(h, f, json.dumps(reduce(_union, shapes.values()))) for (h, f), shapes in held.items()], columns=["host", "field", "wrapper"])
 
         for batch in batches:
             for host, name, body in zip(batch["host"], batch["field"], batch["body"], strict=True):
-                parsed = Parser(body)
-                page = wrapper_of(parsed.root)
-                old = held.get((host, name))
-                held[host, name] = _union(old, page) if old else page
-            if len(held) > hosts_at_once:
-                yield told()
-                held.clear()
+                page = wrapper_of(Parser(body).root)
+                shapes, key = held.setdefault((host, name), {}), shape(page)
+                count += key not in shapes
+                shapes[key] = _stacked(shapes[key], page) if key in shapes else page
+                if count > shapes_at_once:
+                    yield told()
+                    held.clear()
+                    count = 0
         yield told()
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -499,19 +532,28 @@ def clean(docs: DataFrame, key: str = "rec_id", fields: tuple[str, ...] = ("titl
     bodies = _bodies(docs, key, fields, url)
     told = bodies.join(induce(bodies), ["host", "field"], "left")
 
+    done = _told(told, lambda root, constant: (sorted(set().union(*kinds(root, constant))), render(root, constant)), "markup array<string>, text string")
+    return done.withColumnRenamed("rec", key)
+
+
+def _told(pages: DataFrame, say: Callable[[Node, frozenset[str]], tuple], types: str) -> DataFrame:
+    """What ``say`` gives of each page's tree and its host's template nodes."""
+    names = [t.split(" ")[0] for t in types.split(", ")]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for rec, name, body, constant in zip(batch["rec"], batch["field"], batch["body"], batch["constant"], strict=True):
-                parsed = Parser(body)
-                known = frozenset() if constant is None else frozenset(constant)
-                out.append((rec, name, sorted(parsed.kinds), render(parsed.root, known)))
-            yield pd.DataFrame(out, columns=["rec", "field", "markup", "text"])
-
-    done = told.select("rec", "field", "body", "constant").mapInPandas(run, f"rec {dict(bodies.dtypes)['rec']}, field string, markup array<string>, text string")
-    return done.withColumnRenamed("rec", key)
+            rows = [
+                (rec, name, *say(Parser(body).root, frozenset() if constant is None else frozenset(constant)))
+                for rec, name, body, constant in zip(batch["rec"], batch["field"], batch["body"], batch["constant"], strict=True)
+            ]
+            yield pd.DataFrame(rows, columns=["rec", "field", *names])
+
+    return pages.select("rec", "field", "body", "constant").mapInPandas(run, f"rec {dict(pages.dtypes)['rec']}, field string, {types}")
 
 
 def found(docs: DataFrame, key: str = "rec_id", fields: tuple[str, ...] = ("title", "abstract"), url: str = "url") -> DataFrame:
-    """``(key, field, markup)``: one row for each kind of markup in each field."""
-    return clean(docs, key, fields, url).select(key, "field", F.explode("markup").alias("markup"))
+    """``(key, field, markup)``: one row for each kind of markup in each field, in its content or in what its host's pages share."""
+    bodies = _bodies(docs, key, fields, url)
+    aligned = bodies.join(induce(bodies), ["host", "field"], "left")
+    told = _told(aligned, lambda root, constant: (sorted(set().union(*kinds(root, constant))),), "markup array<string>")
+    return told.select(F.col("rec").alias(key), "field", F.explode("markup").alias("markup"))

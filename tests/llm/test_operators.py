@@ -144,6 +144,28 @@ def test_matching_looks_past_the_first_record_of_a_key(spark):
     assert got == [(2, 11)]
 
 
+def test_matching_by_what_slips_leave(spark):
+    p = [
+        (1, "On the licence in Grudovel", ["Jonathan N. Kvekerkik"], "2011", None, 0), (2, "On the siege in Kveifaten", ["Alexander Zufeven"], "2007", None, 0), (3, "On the biopsy in Zhaipundan", ["Valentin Reikaintik"], None, None, 0),
+        (4, "Does the sea level shape the drought? Revisiting Broskersten after 14 years", ["Leopold Fibrambik"], None, None, 0), (5, "On the witness in Zhaiskeirman", ["Helene P. Govlassel"], None, None, 0),
+        (6, "Bounds for the spread of beetles in $O(n \\log n)$ steps", ["Ada Lorn"], None, None, 0), (7, "On the licence in Grudovel: a reply", ["Jonathan N. Kvekerkik"], "2011", None, 0),
+    ]
+    i = [
+        (11, "On th elicence in Grdovel", ["Kvekerkik, J."], "2012", None, 0), (12, "On the siege inKveifaten", ["Alexander Zufeven"], "2006", None, 0), (13, "On the biopsy novel in Zhaipundan", ["V. Reikaintik"], None, None, 0),
+        (14, "Does the sea level shape the drought? Revisiting Broskersten after 14 the years", ["L. Fibrarbik"], None, None, 0), (15, "On the wwitness in Zhaisneirman", ["Helene P. Govlassel"], None, None, 0), (16, "Bounds for the spread of beetles", ["A. Lorn"], None, None, 0),
+    ]
+    got = {tuple(r)[:2] for r in matching.match(spark.createDataFrame(p, RECORD), spark.createDataFrame(i, RECORD)).collect()}
+    assert got == {(n, n + 10) for n in range(1, 7)}
+
+
+def test_crowded_keys_are_made_narrower(spark):
+    words = [f"{a}{b}ation" for a in "bdfgklmnprst" for b in ("ar", "el", "in", "os")]
+    p = [(n, f"Modern treatment settlement of {words[n]} and {words[-n - 1]}", [], None, None, 0) for n in range(len(words))]
+    i = [(1000 + n, f"Modern treatment settlement of {words[n]} and {words[-n - 1]}y", [], None, None, 0) for n in range(len(words))]
+    got = {tuple(r)[:2] for r in matching.match(spark.createDataFrame(p, RECORD), spark.createDataFrame(i, RECORD)).collect()}
+    assert got >= {(n, 1000 + n) for n in range(len(words))}
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------
 
 
@@ -270,6 +292,27 @@ def test_texts_with_one_lead_are_no_template(spark):
     assert got[3] == f"{lead}parts, number 3"
 
 
+@pytest.mark.parametrize(("raw", "kind"), [("**{}**", "markdown"), ("$a {} b$", "latex"), ("''{}''", "wiki"), ("`{}`", "markdown"), ("``{}''", "latex"), ("*{}*", "markdown")])
+def test_markup_around_long_texts(raw, kind):
+    assert markup.Parser(raw.format(" ".join(["word"] * 300))).kinds == {kind}
+
+
+def test_wrappers_of_one_shape_add_up_as_by_search():
+    pages = [markup.wrapper_of(markup.Parser(f"<div><h2>Head</h2><p>text {n}</p></div>").root) for n in range(6)]
+    assert len({markup.shape(p) for p in pages}) == 1
+    stacked = searched = pages[0]
+    for page in pages[1:]:
+        stacked, searched = markup._stacked(stacked, page), markup._union(searched, page)
+    assert stacked == searched
+
+
+def test_kinds_come_from_aligned_trees(spark):
+    root = markup.Parser("<h2>Head</h2> and **bold**").root
+    fixed = f"/page/h2/text\t{markup._digest('Head')}"
+    assert markup.kinds(root) == ({"html", "markdown"}, set()) and markup.kinds(root, frozenset([fixed])) == ({"html", "markdown"}, set())
+    assert markup.kinds(markup.Parser("&amp;").root, frozenset([f"/page/text\t{markup._digest('&')}"])) == (set(), {"html"})
+
+
 @given(st.text("<>&;#*_`'[]{}|\\$=~-+ \nabp/1!", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_any_text_parses(raw):
