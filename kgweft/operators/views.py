@@ -40,6 +40,13 @@ def export_links(relations: DataFrame, limit: int | None = 120, min_mentions: in
     )
 
 
+def joined(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relations with the nodes at both ends; an end borne by several nodes gives a row for each."""
+    ends = {side: entities.select(F.col("name").alias(side), F.col("type").alias(f"{side}_type")) for side in ("source", "target")}
+    met = relations.join(ends["source"], F.col("subject") == F.col("source")).join(ends["target"], F.col("obj") == F.col("target"))
+    return met.drop("subject", "obj")
+
+
 def export_nodes(links: DataFrame, entities: DataFrame) -> DataFrame:
     """Nodes of the links, once for each name: the first seen in link order, subjects before objects.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from kgweft.config import Config
 from kgweft.functions import parse, text, vector
 from kgweft.operators import search, traverse, upsert, views
 from kgweft.plans import ingestion, responses, retrieval
+from kgweft.plans.embed import TokenModel, embedder
 from kgweft.plans.extract import get_extractor
 from kgweft.schemas import ENTITY, RELATION
 from kgweft.session import checkpoint_dir, ship, table
@@ -258,6 +260,15 @@ def kg_graph_nodes(spark, d):
     return views.export_nodes(views.export_links(upsert.relation_totals(_mentions(spark, d))), table(spark, d, "entities"))
 
 
+@query(
+    f"WITH {_EDGES} SELECT s.name AS source, s.type AS source_type, e.predicate, o.name AS target, o.type AS target_type, e.mention_count FROM e JOIN entities s ON s.name = e.subject JOIN entities o ON o.name = e.obj"
+)
+def kg_graph_join(spark, d):
+    """Every relation with the nodes at both its ends."""
+    joined = views.joined(upsert.relation_totals(_mentions(spark, d)), table(spark, d, "entities"))
+    return joined.select("source", "source_type", "predicate", "target", "target_type", "mention_count")
+
+
 @query("SELECT DISTINCT name AS title, type, length(text) AS text_length FROM entities WHERE type IN ('Paper', 'Document') AND text IS NOT NULL ORDER BY title DESC, type, text_length LIMIT 20")
 def kg_history(spark, d):
     """C13, P21, A9, O7."""
@@ -560,6 +571,16 @@ def kg_point_lookup(spark, d):
     return views.node(e, first["name"], first["type"]).select("entity_id", "name", "type", "mention_count")
 
 
+@query(
+    f"SELECT rec_id, title FROM papers WHERE contains({_NORM.format("concat_ws(' ', title, abstract)")}, 'border dispute') AND coalesce(abstract, '') <> '' ORDER BY coalesce(citations, 0) DESC, rec_id LIMIT 10"
+)
+def fetch_topic(spark, d):
+    """A topic that is neither a title nor in the catalogue goes by citations; asked again, the answer is the one kept."""
+    chain = fetch.Fetcher(table(spark, d, "papers"))
+    chain.fetch(" Border dispute ".lower(), 10)
+    return chain.fetch("border dispute", 10).select("rec_id", "title")
+
+
 @query("SELECT rec_id, title FROM papers WHERE source = 'arxiv_curated'")
 def fetch_fallback(spark, d):
     """No record of the first source, so those of the second; the third is not used."""
@@ -664,6 +685,30 @@ def retrieve_hybrid(spark, d):
     return triples.unionByName(excerpts).unionByName(counts)
 
 
+@query(
+    f"WITH {_UNIT}, z AS (SELECT * FROM v ORDER BY vec_id LIMIT 1), w AS (SELECT v.vec_id::VARCHAR AS name, round(list_dot_product(v.x, z.x) / (v.n * z.n), 6) AS score FROM v, z ORDER BY score DESC, v.vec_id::VARCHAR LIMIT 5) "
+    "SELECT 'hybrid' AS route, w.* FROM w JOIN documents d ON d.doc_id::VARCHAR = w.name WHERE coalesce(d.text, '') <> ''"
+)
+def retrieve_fallback(spark, d):
+    """A graph question whose seeds lead nowhere falls back to vectors."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    nodes = table(spark, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").cast("string").alias("name"), F.lit("Document").alias("type"), "text", "embedding")
+    plan = retrieval.Retriever(nodes, upsert.relation_totals(_mentions(spark, d)), route=lambda q: "cypher", seeds=lambda q: ["no node bears this"], embed=lambda q: _first_vector(spark, d))
+    told = plan.retrieve("What lies near this?")
+    return told.excerpts.select(F.lit(told.route).alias("route"), F.col("doc_id").alias("name"), "score")
+
+
+@query(
+    "WITH t AS (SELECT rec_id, title, list_avg(list_transform(string_split(substr(title, 1, 256), ''), lambda c: unicode(c) / 100.0)) AS m FROM papers) "
+    "SELECT rec_id, CASE WHEN title IS NULL THEN NULL WHEN title = '' THEN 0.0 ELSE round(m / sqrt(m * m + 1), 4) END AS first FROM t"
+)
+def embed_tokens(spark, d):
+    """A token model's states, pooled over each text's own tokens, in batches of texts of all lengths."""
+    ship(spark)
+    model = TokenModel(lambda t: [ord(c) for c in t], lambda ids, mask: np.stack([ids / 100.0, np.ones(ids.shape)], -1))
+    return table(spark, d, "papers").select("rec_id", F.round(embedder(model)(F.col("title"))[0].cast("double"), 4).alias("first"))
+
+
 @query("SELECT seq, len(s) AS seeds, array_to_string(s, '|') AS names FROM (SELECT seq, list_filter(list_transform(string_split(subject || ' , ,' || obj, ','), lambda x: regexp_replace(x, '" + _WS + "', '', 'g')), lambda x: x <> '') AS s FROM mentions WHERE subject IS NOT NULL AND obj IS NOT NULL)")
 def seed_lists(spark, d):
     """P22, X7."""
