@@ -68,6 +68,12 @@ _P7_ROWS = (
 )
 _P7 = f"WITH {_P7_ROWS} SELECT group_id, field, copy_id FROM p WHERE rank = 1 AND good AND group_id IN (SELECT group_id FROM b GROUP BY group_id HAVING count(*) > 1)"
 
+_P7_RECORDS = (
+    f"WITH {_P7_ROWS}, x AS (SELECT * FROM p WHERE rank = 1 AND good AND group_id IN (SELECT group_id FROM b GROUP BY group_id HAVING count(*) > 1)) "
+    "SELECT x.group_id, max(CASE WHEN field = 'abstract' THEN d.abstract END) AS abstract, max(CASE WHEN field = 'citations' THEN d.citations END) AS citations, max(CASE WHEN field = 'published_date' THEN day END) AS published_date "
+    "FROM x JOIN d USING (copy_id) GROUP BY x.group_id"
+)
+
 # The ids say the text again, in whole; an empty text has none.
 _P8_CHECKS = "SELECT doc_id, md5(coalesce(text, '')) AS text_md5, coalesce(text, '') = '' AS no_ids FROM documents"
 
@@ -76,4 +82,4 @@ _P9_CHECKS = "SELECT doc_id, true AS whole, false AS over_full, false AS split_f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": _P3, "p3_neighbours": _P3_LISTS, "p6_found": _P6, "p6_checks": _P6_CHECKS, "p7_found": _P7, "p8_checks": _P8_CHECKS, "p9_checks": _P9_CHECKS}
+    return {"p3_found": _P3, "p3_neighbours": _P3_LISTS, "p6_found": _P6, "p6_checks": _P6_CHECKS, "p7_found": _P7, "p7_records": _P7_RECORDS, "p8_checks": _P8_CHECKS, "p9_checks": _P9_CHECKS}

@@ -87,6 +87,13 @@ def test_a_crowded_match_leads_to_the_first_and_to_the_own_title():
     assert got == {500: {100, 117, 9}, 501: {7, 9}, 90: {9}, 600: {7, 9}}
 
 
+def test_a_common_passage_is_few_entries(spark):
+    rows = [(1, b"aboilerplate", n, n % 2, 1000 - n, False) for n in range(60)] * 2 + [(1, b"aother", 3, 0, 5, False)]
+    got = history._entries(spark.createDataFrame(rows, "bucket int, tail binary, title long, issue long, rec long, bare boolean")).collect()
+    kept = {issue: sorted(r["rec"] for r in got if r["issue"] == issue and bytes(r["tail"]) == b"aboilerplate") for issue in (0, 1)}
+    assert all(len(v) == history.FEW + 1 for v in kept.values()) and kept[1][0] == 941 and len(got) == 2 * (history.FEW + 1) + 1
+
+
 @given(st.text("abcdefgh", min_size=47, max_size=60), st.text("abcdefgh", max_size=40), st.text("abcdefgh", max_size=40))
 @settings(max_examples=100, deadline=None)
 def test_a_common_passage_has_a_common_place(passage, before, other):
