@@ -173,6 +173,16 @@ def test_crowded_keys_are_made_narrower(spark):
     assert got >= {(n, 1000 + n) for n in range(len(words))}
 
 
+def test_a_crowded_key_loses_no_pair_that_agrees(spark):
+    ends = ["harbour", "bridges", "lantern", "meadows", "orchard", "glacier", "voltage", "plasmid", "kitchen", "theorem", "saffron", "cyclone"]
+    slip = lambda w: w[:2] + w[3] + w[2] + w[4:]
+    for authors in ([], ["Ada Lorn"]):  # no third word in common; one family name for all
+        p = [(n, f"{a} treatment settlement {ends[n - 1]}", authors, None, None, 0) for n, a in enumerate(ends)]
+        i = [(1000 + n, f"{slip(a)} treatment settlement {slip(ends[n - 1])}", ["Lron, A."] if authors else [], None, None, 0) for n, a in enumerate(ends)]
+        got = {tuple(r)[:2] for r in matching.match(spark.createDataFrame(p, RECORD), spark.createDataFrame(i, RECORD)).collect()}
+        assert got == {(n, 1000 + n) for n in range(len(ends))}
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------
 
 
