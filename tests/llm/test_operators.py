@@ -53,6 +53,15 @@ def test_history_looks_past_the_first_holder_of_a_passage(spark):
     assert got == {(2, 3), (2, 4)}
 
 
+def test_a_crowded_passage_leads_to_every_paper_it_can_be(spark):
+    lead = " ".join(f"phrase{i} that all of them share" for i in range(6))
+    ends = ["harbour", "bridges", "lantern", "meadows", "orchard", "glacier", "voltage", "plasmid", "kitchen", "theorem", "saffron", "cyclone"]
+    slip = lambda w: w[:2] + w[3] + w[2] + w[4:]
+    rows = [(n, 0, f"a{n}", a, lead) for n, a in enumerate(ends)] + [(100 + n, 1, f"b{n}", slip(a), lead) for n, a in enumerate(ends)]
+    got = {(r["first_rec_id"], r["rec_id"]) for r in history.found(papers(spark, rows)).collect()}
+    assert got == {(r[0] - 100, r[0]) for r in rows if r[1]}
+
+
 def slices(rows):
     rows = sorted(rows)
     tails, title, issue, bare, rec = zip(*rows, strict=True)
