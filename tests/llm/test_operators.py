@@ -478,3 +478,15 @@ def test_subjects(spark):
     right = sum(told_areas.get(n) == truth[n] for n in range(120, 240))
     assert right >= 108 and not {900, 901, 902, 903} & set(told_areas)
     assert subjects.found(d.limit(0), lab, areas).count() == 0 and subjects.composition(d, lab, areas).count() == 3
+
+
+def test_every_labelled_document_trains(spark):
+    ids = [r["id"] for r in spark.range(5200).orderBy(F.xxhash64("id")).collect()]  # the last ones bear an area of their own
+    rows = [(n, f"The court hears case{n % 2} in town. The verdict follows the appeal." if at < 5190 else "The glacier feeds reefs below. A drought follows rainfall there.") for at, n in enumerate(ids)]
+    docs, areas = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([("law",), ("climate",)], "subject_area string")
+    labels = spark.createDataFrame([(n, "law" if at < 5190 else "climate") for at, n in enumerate(ids)], "doc_id bigint, subject_area string")
+    model = subjects.train(docs, labels, areas)
+    law, climate = model.areas.index("law"), model.areas.index("climate")
+    assert model.single[model.words["glacier"]][climate] > 0 > model.single[model.words["glacier"]][law]
+    told_areas = [r["areas"] for r in subjects.classify(docs.filter(F.col("doc_id").isin(ids[5190:])), model).collect()]
+    assert told_areas == [["climate"]] * 10
