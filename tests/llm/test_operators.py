@@ -62,6 +62,36 @@ def test_a_crowded_passage_leads_to_every_paper_it_can_be(spark):
     assert got == {(r[0] - 100, r[0]) for r in rows if r[1]}
 
 
+def test_a_task_of_the_history_has_one_python_process(spark, monkeypatch):
+    plans, real = [], history.cut
+    monkeypatch.setattr(history, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    rows = [(1, 0, "a1", "On the tides of Depassen", TEXT), (2, 1, "b1", "On the tides of Depasen", TEXT[:200])]
+    assert history.found(papers(spark, rows)).count() == 1
+    assert max(part.count("MapInArrow") for plan in plans for part in plan.split("Exchange")) == 1
+
+
+def test_titles_of_one_length_are_not_alike_for_that(spark):
+    words = ["harbour", "bridges", "lantern", "meadows", "theorem", "tide", "of", "the", "and", "reef"]
+    rng = np.random.default_rng(3)
+    cores = sorted({" ".join(words[k] for k in rng.integers(0, len(words), n)) for n in (1, 2, 3, 5) for _ in range(12)})
+    slips = [c[:3] + c[4:] for c in cores if len(c) > 7] + [c.replace(" ", "", 1) for c in cores] + [c[:4] + "x" + c[5:] for c in cores if len(c) > 7]
+    cores = [*dict.fromkeys([*cores, *(" ".join(c.split()) for c in slips), "late harbours and eels", "four steady plasmids"])]
+    for n, least in ((400, 0.4), (10, 0.8)):
+        titles = history.cut(history._titled(spark.createDataFrame([(k, c, n) for k, c in enumerate(cores)], "rec long, core string, n int")))
+        x, y = (titles.select(F.struct(*titles.columns).alias(name)) for name in "xy")
+        near = {tuple(r) for r in x.crossJoin(y).filter(history._NEAR).select("x.rec", "y.rec").collect()}
+        assert not {(i, j) for i, a in enumerate(cores) for j, b in enumerate(cores) if alike(a, b) >= least} - near
+        assert (cores.index("late harbours and eels"), cores.index("four steady plasmids")) not in near
+
+
+@given(st.text("ab", max_size=60), st.text("ab", max_size=90), st.text("ab", max_size=60), st.floats(0, 150))
+def test_what_is_surely_too_little_in_common(before, passage, after, least):
+    later, earlier = before + passage + after, after + passage + before
+    whole = history.common(later, earlier)
+    assert history.common(later, earlier, least=least) == whole or history.common(later, earlier, least=least) == 0 and whole < least
+    assert history.common("c" * 300, passage * 3, least=0.85 * 300) == 0
+
+
 def slices(rows):
     rows = sorted(rows)
     tails, title, issue, bare, rec = zip(*rows, strict=True)
