@@ -222,6 +222,17 @@ def test_a_crowded_key_loses_no_pair_that_agrees(spark):
         assert got == {(n, 1000 + n) for n in range(len(ends))}
 
 
+def test_a_pass_of_the_matching_is_one_plan(spark, monkeypatch):
+    met, real = [], matching._met
+    monkeypatch.setattr(matching, "_met", lambda *given: met.append(given) or real(*given))
+    title = "On the reef in Skonaznel"  # the second agrees with the first of its source only
+    p = [(1, title, ["Ada Lorn", "Bo Treven"], "2019", None, 0), (2, title, ["Bo Treven"], "2019", None, 0), (3, title, ["Cy Narm"], "2019", None, 0)]
+    i = [(11, title, ["Lorn, A."], "2019", None, 0), (12, title, ["Lorn, A.", "Zed Qual"], "2019", None, 0), (13, title, ["Zed Qual"], "2019", None, 0)]
+    got = {tuple(r)[:2] for r in matching.match(spark.createDataFrame(p, RECORD), spark.createDataFrame(i, RECORD)).collect()}
+    assert got == {(a, b) for a in (1, 2) for b in (11, 12, 13)}
+    assert len(met) == len(matching.PASSES)
+
+
 # -- 3 --------------------------------------------------------------------------------------------------------------------
 
 
